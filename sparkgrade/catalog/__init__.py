@@ -1,0 +1,6 @@
+"""The catalogue: every query bound to the test tables, with its SQL twin."""
+
+from sparkgrade.catalog import scores, upkeep, words  # noqa: F401
+from sparkgrade.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

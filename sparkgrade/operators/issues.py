@@ -25,15 +25,15 @@ def parse_assessment(raw: Column | str) -> Column:
 def issues_from_assessment(rows: DataFrame, raw: Column | str = "assessment") -> DataFrame:
     """One row per issue of a JSON assessment; unusable JSON gives none."""
     empty = F.array().cast("array<struct<severity:string,code:string,message:string,details:string>>")
-    tagged = [
-        F.transform(
+
+    def tagged(stage: str) -> Column:
+        return F.transform(
             F.coalesce(F.col(f"_a.{stage}.issues"), empty),
-            lambda i, stage=stage: F.struct(F.lit(stage).alias("stage"), i.alias("issue")),
+            lambda i: F.struct(F.lit(stage).alias("stage"), i.alias("issue")),
         )
-        for stage in AUDIT_STAGES
-    ]
+
     listed = rows.withColumn("_a", parse_assessment(raw)).select(
-        "split", "id", F.explode(F.concat(*tagged)).alias("i")
+        "split", "id", F.explode(F.concat(*map(tagged, AUDIT_STAGES))).alias("i")
     )
     default = F.concat(F.col("i.stage"), F.lit(" issue flagged by LLM"))
     return listed.filter("i.issue IS NOT NULL").select(

@@ -214,17 +214,13 @@ def top_keywords(stats: DataFrame, k: int) -> DataFrame:
 def _parts(phrase: Column, longest: int) -> Column:
     """Every contiguous part of a phrase, itself left out."""
     words = F.split(phrase, " ")
-    runs = [
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " "),
-        )
-        for n in range(1, longest)
-    ]
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*[
-        F.when(F.size(words) > n, run).otherwise(empty) for n, run in enumerate(runs, start=1)
-    ]))
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        found = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) > n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, longest)]))
 
 
 def prune_nested(
