@@ -36,10 +36,12 @@ def last_boxed(text: Column | str) -> Column:
     def finish(state: Column) -> Column:
         return F.when(state["depth"] == 0, state["used"])
 
-    used = F.aggregate(pieces, start, step, finish)
-    inside = tx.strip(F.array_join(F.slice(pieces, F.lit(1), used - 1), ""))
-    return F.when(F.contains(text, F.lit(BOX)), F.coalesce(F.nullif(inside, F.lit("")), F.lit(MISSING))) \
-        .otherwise(MISSING)
+    def content(parts: Column) -> Column:
+        used = F.aggregate(parts, start, step, finish)
+        return tx.strip(F.array_join(F.slice(parts, F.lit(1), used - 1), ""))
+
+    inside = tx.null_if_empty(tx.let(pieces, content))
+    return F.coalesce(F.when(F.contains(text, F.lit(BOX)), inside), F.lit(MISSING))
 
 
 def boxed_answer(response: Column | str) -> Column:
@@ -55,29 +57,33 @@ def json_answer(raw: Column | str) -> Column:
     values compact JSON. Keys are trimmed, blank keys dropped, the last of repeated
     keys kept.
     """
-    body = tx.strip(raw)
-    opened = F.regexp_replace(F.regexp_replace(body, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    body = F.when(F.startswith(body, F.lit("```")), opened).otherwise(body)
-    fragment = (
-        ~F.startswith(body, F.lit("{"))
-        & ~F.endswith(body, F.lit("}"))
-        & body.rlike(r'^\s*"[^"]+"\s*:')
-    )
-    body = F.when(fragment, F.concat(F.lit("{"), body, F.lit("}"))).otherwise(body)
-    parsed = F.from_json(body, "map<string,string>")
-    pairs = F.transform(
-        F.map_entries(parsed),
-        lambda e: F.struct(tx.strip(e["key"]).alias("key"), tx.clean_text(e["value"]).alias("value")),
-    )
-    named = F.filter(pairs, lambda e: e["key"] != "")
-    last = F.filter(
-        named,
-        lambda e, i: ~F.exists(
-            F.slice(named, i + 2, F.size(named)), lambda later: later["key"] == e["key"]
-        ),
-    )
-    is_object = F.startswith(tx.strip(body), F.lit("{"))
-    return F.when(is_object & (tx.strip(raw) != MISSING), F.map_from_entries(F.array_sort(last)))
+    def unfence(body: Column) -> Column:
+        opened = F.regexp_replace(body, r"^```(?:json)?\s*|\s*```$", "")
+        return F.when(F.startswith(body, F.lit("```")), opened).otherwise(body)
+
+    def wrap(body: Column) -> Column:
+        fragment = (
+            ~F.startswith(body, F.lit("{"))
+            & ~F.endswith(body, F.lit("}"))
+            & body.rlike(r'^\s*"[^"]+"\s*:')
+        )
+        whole = F.when(fragment, F.concat(F.lit("{"), body, F.lit("}"))).otherwise(body)
+        return F.when(F.startswith(whole, F.lit("{")), whole)
+
+    def tidy(entry: Column) -> Column:
+        return F.struct(tx.strip(entry["key"]).alias("key"), tx.clean_text(entry["value"]).alias("value"))
+
+    def last_of_each(pairs: Column) -> Column:
+        return F.filter(
+            pairs,
+            lambda e, i: (e["key"] != "") & ~F.exists(
+                F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]
+            ),
+        )
+
+    body = tx.let(tx.let(tx.strip(raw), unfence), wrap)
+    pairs = F.transform(F.map_entries(F.from_json(body, "map<string,string>")), tidy)
+    return F.map_from_entries(F.array_sort(tx.let(pairs, last_of_each)))
 
 
 def json_text(answer: Column) -> Column:
@@ -99,27 +105,32 @@ def json_missing_keys(gold: Column, answer: Column) -> Column:
 
 
 def looks_like_math(text: Column | str) -> Column:
-    flat = F.coalesce(tx.collapse_spaces(text), F.lit(""))
-    shaped = flat.rlike(r"[+\-*/^=()]") | flat.rlike(r"\d") | flat.rlike(r"^[A-Za-z_]\w*$")
-    return (flat != "") & (flat != MISSING) & tx.answer_bool(flat).isNull() & shaped
+    def test(flat: Column) -> Column:
+        shaped = flat.rlike(r"[+\-*/^=()\d]|^[A-Za-z_]\w*$")
+        return (flat != MISSING) & shaped & tx.answer_bool(flat).isNull()
+
+    return F.coalesce(tx.let(tx.collapse_spaces(text), test), F.lit(False))
 
 
 def looks_symbolic(text: Column | str) -> Column:
     """Usable as an expression as it stands: no TeX commands or dollar signs."""
-    body = F.coalesce(tx.strip(text), F.lit(""))
-    return (body != "") & (body != MISSING) & ~body.rlike(r"[\\$]")
+    def test(body: Column) -> Column:
+        return ~body.isin("", MISSING) & ~body.rlike(r"[\\$]")
+
+    return F.coalesce(tx.let(tx.strip(text), test), F.lit(False))
 
 
 def converted_expression(raw: Column | str, fallback: Column | str) -> Column:
     """Expression out of a converter's reply: fences and tags off, last box, last line."""
-    body = tx.strip_code_fence(tx.strip_reasoning_tags(raw))
-    box = last_boxed(body)
-    body = F.when(box != MISSING, box).otherwise(body)
-    lines = F.filter(
-        F.transform(F.split(body, r"\r\n|\r|\n"), lambda line: tx.strip(line)), lambda line: line != ""
-    )
-    last_line = F.coalesce(F.try_element_at(lines, F.lit(-1)), body)
-    expression = symbols.normalize_expression(
-        F.regexp_replace(tx.strip(last_line), "^`+|`+$", "")
-    )
-    return F.when(expression != MISSING, expression).otherwise(tx.or_missing(fallback))
+    def unbox(body: Column) -> Column:
+        box = last_boxed(body)
+        return F.when(F.contains(body, F.lit(BOX)) & (box != MISSING), box).otherwise(body)
+
+    def last_line(body: Column) -> Column:
+        lines = F.transform(F.split(body, r"\r\n|\r|\n"), lambda line: tx.strip(line))
+        return F.coalesce(F.try_element_at(F.array_remove(lines, F.lit("")), F.lit(-1)), body)
+
+    body = tx.let(tx.strip_code_fence(tx.strip_reasoning_tags(raw)), unbox)
+    line = F.btrim(tx.strip(tx.let(body, last_line)), F.lit("`"))
+    expression = F.get(F.array_remove(F.array(symbols.normalize_expression(line)), F.lit(MISSING)), F.lit(0))
+    return F.coalesce(expression, tx.or_missing(fallback))

@@ -30,7 +30,7 @@ def artifact_label(model: Column | str, effort: Column | str, max_tokens: Column
 def artifact_effort(label: Column | str, recorded: Column | str | None = None) -> Column:
     """Recorded effort, else the one in the label, else ``default``."""
     given = F.lit(None).cast("string") if recorded is None else tx.blank_to_null(recorded)
-    found = F.nullif(F.regexp_extract(as_column(label), "__effort-([a-z0-9]+)__", 1), F.lit(""))
+    found = tx.null_if_empty(F.regexp_extract(as_column(label), "__effort-([a-z0-9]+)__", 1))
     return F.coalesce(F.nullif(given, F.lit("default")), found, F.lit("default"))
 
 
@@ -49,7 +49,7 @@ def model_tag(name: Column | str) -> Column:
     """File-safe tag of a model name."""
     tag = F.regexp_replace(tx.strip(name), "[^A-Za-z0-9._-]+", "-")
     tag = F.regexp_replace(F.regexp_replace(tag, "-{2,}", "-"), r"^[._-]+|[._-]+$", "")
-    return F.coalesce(F.nullif(tag, F.lit("")), F.lit("model"))
+    return F.coalesce(tx.null_if_empty(tag), F.lit("model"))
 
 
 def file_split(stem: Column | str) -> Column:
@@ -59,7 +59,7 @@ def file_split(stem: Column | str) -> Column:
 
 
 def file_tag(stem: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(as_column(stem), "^(.+)__(.+)$", 2), F.lit(""))
+    return tx.null_if_empty(F.regexp_extract(as_column(stem), "^(.+)__(.+)$", 2))
 
 
 def split_name(chapter: Column | str) -> Column:
@@ -84,7 +84,7 @@ def chapter_selector(selector: Column | str) -> Column:
 def dataset_tag(folder: Column | str) -> Column:
     name = F.regexp_replace(tx.strip(folder), "_dataset$", "")
     tag = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
-    return F.coalesce(F.nullif(tag, F.lit("")), F.lit("dataset"))
+    return F.coalesce(tx.null_if_empty(tag), F.lit("dataset"))
 
 
 def big_question(question_id: Column | str) -> Column:

@@ -40,8 +40,11 @@ ARGUMENT_OPERATORS = [
     ("**", "_pow_"), ("^", "_pow_"), ("*", "_mul_"), ("/", "_div_"), ("+", "_plus_"), ("-", "_minus_"),
 ]
 
-CALL = r"(?U)^([A-Za-z_]\w*)\s*\(([^(){}]*)\)$"
-PIECES = r"(?Us)[A-Za-z_]\w*\s*\([^(){}]*\)|\w+|."
+# A call without nested brackets, of a name that is not kept.
+UNKNOWN_CALL = rf"(?!(?:{'|'.join(KNOWN_CALLABLES)})\b)[A-Za-z_]\w*\s*\([^(){{}}]*\)"
+CALL_PARTS = r"(?Us)^(\w+)\s*\((.*)\)$"
+PIECES = rf"(?U){UNKNOWN_CALL}|\w+|\W+"
+KEPT_CALL = rf"(?U)\b({'|'.join(KNOWN_CALLABLES)})\s*\(\s*([^(){{}}]*?)\s*\)"
 IDENTIFIER = r"(?U)[A-Za-z_]\w*"
 
 # Fixed value: heading of the symbol section of a question.
@@ -49,57 +52,58 @@ SYMBOL_HEADING = "Symbols (for final answer):"
 
 
 def _squeeze(name: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(name, "_+", "_"), "^_|_$", "")
+    return F.btrim(F.regexp_replace(name, "_+", "_"), F.lit("_"))
 
 
 def _argument_name(argument: Column) -> Column:
     name = tx.strip(argument)
     for operator, word in ARGUMENT_OPERATORS:
         name = F.replace(name, F.lit(operator), F.lit(word))
-    name = _squeeze(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"))
-    name = F.when(name == "", "arg").otherwise(name)
-    return F.when(name.rlike("^[0-9]"), F.concat(F.lit("n_"), name)).otherwise(name)
+    name = tx.null_if_empty(_squeeze(F.regexp_replace(name, "[^A-Za-z0-9_]", "_")))
+    # A name must not start with a digit.
+    return F.regexp_replace(F.coalesce(name, F.lit("arg")), "^(?=[0-9])", "n_")
 
 
-def _flatten_piece(piece: Column) -> Column:
-    name = F.regexp_extract(piece, CALL, 1)
-    arguments = tx.strip(F.regexp_extract(piece, CALL, 2))
-    flat = _squeeze(
-        F.concat_ws("_", name, F.array_join(F.transform(F.split(arguments, ","), _argument_name), "_"))
-    )
-    return (
-        F.when(~piece.rlike(CALL), piece)
-        .when(name.isin(KNOWN_CALLABLES), F.concat(name, F.lit("("), arguments, F.lit(")")))
-        .when(arguments == "", name)
-        .otherwise(F.when(flat == "", name).otherwise(flat))
-    )
+def _flatten_call(call: Column) -> Column:
+    name = F.regexp_extract(call, CALL_PARTS, 1)
+    arguments = tx.strip(F.regexp_extract(call, CALL_PARTS, 2))
+    named = F.array_join(F.transform(F.split(arguments, ","), _argument_name), "_")
+    flat = tx.null_if_empty(_squeeze(F.concat_ws("_", name, named)))
+    return F.when(arguments == "", name).otherwise(F.coalesce(flat, name))
 
 
 def _flatten_calls(expression: Column) -> Column:
+    """Rewrite each unknown call of the expression; everything else stays as it is."""
+    def rewrite(piece: Column) -> Column:
+        is_call = F.endswith(piece, F.lit(")")) & piece.rlike(r"(?U)^\w")
+        return F.when(is_call, _flatten_call(piece)).otherwise(piece)
+
     pieces = F.regexp_extract_all(expression, F.lit(PIECES), F.lit(0))
-    return F.array_join(F.transform(pieces, _flatten_piece), "")
+    return F.array_join(F.transform(pieces, rewrite), "")
 
 
 def normalize_expression(expression: Column | str) -> Column:
     """Greek macros to names, unknown calls flattened (``u_i(D,R)`` -> ``u_i_D_R``)."""
-    body = F.coalesce(tx.strip(expression), F.lit(""))
-    plain = F.regexp_replace(body, rf"\\var({'|'.join(GREEK_VARIANTS)})\b", "$1")
+    plain = F.regexp_replace(tx.strip(expression), rf"\\var({'|'.join(GREEK_VARIANTS)})\b", r"\\$1")
     plain = F.regexp_replace(plain, rf"\\({'|'.join(GREEK_NAMES)})\b", "$1")
-    flat = F.aggregate(
-        F.sequence(F.lit(1), F.lit(FLATTEN_ROUNDS)),
-        plain,
-        lambda state, _: F.when(F.contains(state, F.lit("(")), _flatten_calls(state)).otherwise(state),
-    )
-    flat = F.when(F.contains(plain, F.lit("(")), flat).otherwise(plain)
-    return tx.clean_text(flat)
+    unknown = rf"(?U)(?<!\w){UNKNOWN_CALL}"
+
+    def flatten_once(state: Column, _: Column) -> Column:
+        return F.when(state.rlike(unknown), _flatten_calls(state)).otherwise(state)
+
+    def flatten(body: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.lit(FLATTEN_ROUNDS))
+        return F.when(body.rlike(unknown), F.aggregate(rounds, body, flatten_once)).otherwise(body)
+
+    return tx.clean_text(F.regexp_replace(tx.let(plain, flatten), KEPT_CALL, "$1($2)"))
 
 
 def symbol_tokens(expression: Column | str) -> Column:
     """Sorted distinct identifiers of an expression, reserved names left out."""
-    found = F.regexp_extract_all(normalize_expression(expression), F.lit(IDENTIFIER), F.lit(0))
-    body = F.coalesce(tx.strip(expression), F.lit(MISSING))
-    names = F.array_sort(F.array_distinct(F.filter(found, lambda s: ~s.isin(RESERVED_NAMES))))
-    return F.when(body.isin("", MISSING), F.array().cast("array<string>")).otherwise(names)
+    # The sentinel for "no expression" holds no symbols.
+    normal = F.regexp_replace(normalize_expression(expression), f"^{MISSING}$", "")
+    found = F.regexp_extract_all(normal, F.lit(IDENTIFIER), F.lit(0))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda s: ~s.isin(RESERVED_NAMES))))
 
 
 def _is_symbol(name: Column) -> Column:

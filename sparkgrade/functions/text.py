@@ -5,11 +5,20 @@ Every function takes and returns a ``Column`` and stays inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING = "N/A"
 
+# White space at the ends of a text, in any script.
+BLANKS = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
+
 # A word is a run of letters, digits or underscores in any script. The explicit
 # classes give the same counts in every regex dialect, unlike \w and \b.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
@@ -26,9 +35,19 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def null_if_empty(value: Column) -> Column:
+    """NULL for an empty string, without computing the value twice."""
+    return F.get(F.array_remove(F.array(value), F.lit("")), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Remove leading and trailing white space of any kind, not only spaces."""
-    return F.regexp_replace(as_column(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_column(text), F.lit(BLANKS))
 
 
 def collapse_spaces(text: Column | str) -> Column:
@@ -38,28 +57,35 @@ def collapse_spaces(text: Column | str) -> Column:
 
 def blank_to_null(text: Column | str) -> Column:
     """Stripped text, or NULL when nothing is left."""
-    return F.nullif(strip(text), F.lit(""))
+    return null_if_empty(strip(text))
 
 
 def first_text(*texts: Column | str) -> Column:
     """First argument that is neither NULL nor blank, stripped; NULL if there is none."""
-    return F.coalesce(*[blank_to_null(t) for t in texts])
+    present = F.array_compact(F.array(*[strip(t) for t in texts]))
+    return F.get(F.array_remove(present, F.lit("")), F.lit(0))
 
 
 def clean_text(text: Column | str, default: Column | str = MISSING) -> Column:
     """Collapsed text, or ``default`` when blank."""
     fallback = F.lit(default) if isinstance(default, str) else default
-    return F.coalesce(F.nullif(collapse_spaces(text), F.lit("")), fallback)
+    return F.coalesce(null_if_empty(collapse_spaces(text)), fallback)
 
 
 def or_missing(text: Column | str) -> Column:
     return F.coalesce(blank_to_null(text), F.lit(MISSING))
 
 
+def lookup(key: Column, table: dict[str, object]) -> Column:
+    """Value of ``key`` in a small fixed table, NULL when it is not there."""
+    entries = [F.lit(part) for pair in table.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), key)
+
+
 def loose_bool(value: Column | str) -> Column:
     """True / False from a loosely typed flag, NULL when it is neither."""
-    text = F.lower(strip(as_column(value).cast("string")))
-    return F.when(text.isin(LOOSE_TRUE), True).when(text.isin(LOOSE_FALSE), False)
+    spellings = dict.fromkeys(LOOSE_TRUE, True) | dict.fromkeys(LOOSE_FALSE, False)
+    return lookup(F.lower(strip(as_column(value).cast("string"))), spellings)
 
 
 def answer_bool(text: Column | str) -> Column:
@@ -69,7 +95,7 @@ def answer_bool(text: Column | str) -> Column:
         bare, r"\\(?:text|mathrm|operatorname|mathbf|mathit)\s*\{([^{}]*)\}", "$1"
     )
     bare = F.lower(F.regexp_replace(bare, r"(?U)[$`\s]", ""))
-    return F.when(bare.isin(ANSWER_TRUE), "True").when(bare.isin(ANSWER_FALSE), "False")
+    return lookup(bare, dict.fromkeys(ANSWER_TRUE, "True") | dict.fromkeys(ANSWER_FALSE, "False"))
 
 
 def flip_bool(label: Column | str) -> Column:
@@ -85,10 +111,15 @@ def int_in_text(text: Column | str, default: int | Column) -> Column:
 
 def points(value: Column | str) -> Column:
     """A weight written as a number or as a fraction such as ``1/3``; otherwise 1.0."""
-    text = strip(as_column(value).cast("string"))
-    top = F.regexp_extract(text, r"^([-+]?\d+)\s*/\s*(\d+)$", 1).try_cast("double")
-    bottom = F.regexp_extract(text, r"^([-+]?\d+)\s*/\s*(\d+)$", 2).try_cast("double")
-    return F.coalesce(text.try_cast("double"), F.try_divide(top, bottom), F.lit(1.0))
+    def parse(text: Column) -> Column:
+        parts = F.split(text, r"\s*/\s*")
+        whole = parts.getItem(0).rlike(r"^[-+]?\d+$") & F.get(parts, F.lit(1)).rlike(r"^\d+$") & (F.size(parts) == 2)
+        fraction = F.try_divide(
+            F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
+        )
+        return F.coalesce(text.try_cast("double"), F.when(whole, fraction))
+
+    return F.coalesce(let(strip(as_column(value).cast("string")), parse), F.lit(1.0))
 
 
 def confidence(text: Column | str) -> Column:
@@ -104,30 +135,36 @@ def severity(text: Column | str) -> Column:
 def issue_code(text: Column | str, fallback: str = "llm_issue") -> Column:
     """Lower-case identifier made of letters, digits and underscores."""
     code = F.regexp_replace(F.lower(strip(text)), r"[^a-z0-9_]+", "_")
-    return F.coalesce(F.nullif(F.regexp_replace(code, "^_+|_+$", ""), F.lit("")), F.lit(fallback))
+    return F.coalesce(null_if_empty(F.btrim(code, F.lit("_"))), F.lit(fallback))
 
 
 def first_sentence(text: Column | str, max_words: int = 40) -> Column:
     """First sentence of a reason, cut to ``max_words`` words without trailing punctuation."""
+    def cut(sentence: Column) -> Column:
+        words = F.split(sentence, " ")
+        short = F.rtrim(F.array_join(F.slice(words, 1, max_words), " "), F.lit(".,;:!?"))
+        return F.when(F.size(words) > max_words, short).otherwise(sentence)
+
     raw = clean_text(text, "No reason provided.")
-    sentence = F.split(raw, r"(?<=[.!?])\s+", 2)[0]
-    words = F.split(sentence, " ")
-    short = F.regexp_replace(F.array_join(F.slice(words, 1, max_words), " "), r"[.,;:!?]+$", "")
-    return F.when(F.size(words) > max_words, short).otherwise(sentence)
+    return let(F.split(raw, r"(?<=[.!?])\s+", 2)[0], cut)
+
+
+def _cut(flat: Column, max_chars: int, head: Callable[[Column], Column]) -> Column:
+    def shortened(whole: Column) -> Column:
+        cut = F.concat(head(F.left(whole, F.lit(max_chars - 3))), F.lit("..."))
+        return F.when(F.length(whole) <= max_chars, whole).otherwise(cut)
+
+    return F.coalesce(let(flat, shortened), F.lit(""))
 
 
 def preview(text: Column | str, max_chars: int = 180) -> Column:
     """Collapsed text, cut with an ellipsis."""
-    flat = F.coalesce(collapse_spaces(text), F.lit(""))
-    cut = F.concat(F.rtrim(F.left(flat, F.lit(max_chars - 3))), F.lit("..."))
-    return F.when(F.length(flat) <= max_chars, flat).otherwise(cut)
+    return _cut(collapse_spaces(text), max_chars, F.rtrim)
 
 
 def shorten(text: Column | str, max_chars: int) -> Column:
     """Stripped text, cut with an ellipsis, inner white space kept."""
-    flat = F.coalesce(strip(text), F.lit(""))
-    cut = F.concat(F.left(flat, F.lit(max_chars - 3)), F.lit("..."))
-    return F.when(F.length(flat) <= max_chars, flat).otherwise(cut)
+    return _cut(strip(text), max_chars, lambda head: head)
 
 
 def word_count(text: Column | str) -> Column:
@@ -141,9 +178,11 @@ def strip_control_chars(text: Column | str) -> Column:
 
 def strip_code_fence(text: Column | str) -> Column:
     """Remove one Markdown code fence around the text, with its language tag."""
-    body = F.coalesce(strip(text), F.lit(""))
-    inner = F.regexp_replace(F.regexp_replace(body, r"(?U)^```[a-zA-Z]*\s*", ""), r"(?U)\s*```$", "")
-    return F.when(F.startswith(body, F.lit("```")), strip(inner)).otherwise(body)
+    def unfence(body: Column) -> Column:
+        inner = F.regexp_replace(body, r"(?U)^```[a-zA-Z]*\s*|\s*```$", "")
+        return F.when(F.startswith(body, F.lit("```")), strip(inner)).otherwise(body)
+
+    return F.coalesce(let(strip(text), unfence), F.lit(""))
 
 
 def strip_reasoning_tags(text: Column | str) -> Column:

@@ -33,6 +33,10 @@ CONVERT_REPLY = (
 SYNC_REPLY = "rewritten_question string, changed string, notes string"
 
 
+def _unless_missing(expression: Column) -> Column:
+    return F.get(F.array_remove(F.array(expression), F.lit(MISSING)), F.lit(0))
+
+
 def problem_rows(files: DataFrame, parents: DataFrame) -> DataFrame:
     """Source problems with their parent problem and ids.
 
@@ -184,8 +188,7 @@ def convert_rows(rows: DataFrame, reply: str = "reply") -> DataFrame:
     verdict = F.coalesce(tx.answer_bool(comparable), tx.answer_bool(answer))
 
     def usable(text: Column) -> Column:
-        expression = sy.normalize_expression(text)
-        return F.nullif(expression, F.lit(MISSING))
+        return _unless_missing(sy.normalize_expression(text))
 
     symbolic = F.coalesce(
         usable(parsed["reference_answer_sympy"]), usable(comparable), usable(answer), F.lit(MISSING)
@@ -309,5 +312,5 @@ def symbolic_or_converted(text: Column, converted: Column) -> Column:
     """An expression usable as it stands, else what the converter made of it."""
     raw = sy.normalize_expression(text)
     return F.when(raw == MISSING, raw).when(an.looks_symbolic(raw), raw).otherwise(
-        F.coalesce(F.nullif(sy.normalize_expression(converted), F.lit(MISSING)), raw)
+        F.coalesce(_unless_missing(sy.normalize_expression(converted)), raw)
     )

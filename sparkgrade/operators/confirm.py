@@ -121,7 +121,7 @@ def materialise_reviews(items: DataFrame, reviews: DataFrame, keys: Sequence[str
     )
 
     def put(new: str, old: str) -> Column:
-        return F.coalesce(F.nullif(tx.collapse_spaces(new), F.lit("")), F.col(old))
+        return tx.clean_text(new, F.col(old))
 
     return joined.withColumns({
         "question_standalone": put("_r_question", "question_standalone"),

@@ -131,14 +131,12 @@ def grade(joined: DataFrame) -> DataFrame:
         "_mode": comparison_mode("comparison_mode", "answer_kind"),
         "_kind": F.coalesce(F.lower(tx.blank_to_null("answer_kind")), F.lit("sympy")),
         "_reference": overlay.effective_reference(),
-        "_symbolic": F.coalesce(
-            tx.first_text(overlay.effective_symbolic(), overlay.effective_reference()), F.lit(MISSING)
-        ),
+        "_symbolic": overlay.effective_symbolic(),
         "_listed": sy.allowed_symbols("symbol_contract_allowed_symbols"),
         "_given": F.coalesce(tx.first_text("pred_final_answer_for_compare", "pred_answer_boxed"), F.lit("")),
     })
     rows = rows.withColumns({
-        "_gold_text": tx.clean_text("_symbolic"),
+        "_gold_text": tx.clean_text(tx.first_text("_symbolic", "_reference")),
         "_given_text": tx.clean_text(tx.first_text("pred_answer_sympy", "_given")),
         "_gold_json": F.when(
             F.col("_mode") == "json", F.coalesce(_nonempty(F.col("reference_answer_json")), an.json_answer("_reference"))

@@ -40,7 +40,7 @@ def answer_overrides(raw: Column | str) -> dict[str, Column]:
 
     text = F.coalesce(pick(TEXT_KEYS), F.when(F.size(parsed) > 0, an.json_text(parsed)), F.lit(""))
     symbolic = F.coalesce(pick(SYMBOLIC_KEYS), F.lit(""))
-    compare = F.coalesce(pick(COMPARE_KEYS), F.nullif(symbolic, F.lit("")), text)
+    compare = F.coalesce(pick(COMPARE_KEYS), tx.null_if_empty(symbolic), text)
     is_object = parsed.isNotNull()
     return {
         "annotator_rewritten_answer_reference": F.when(is_object, text).otherwise(body),

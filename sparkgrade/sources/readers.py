@@ -217,18 +217,14 @@ def with_label_parts(evals: DataFrame, families: Sequence[dict]) -> DataFrame:
     the effort. Labels no rule matches are their own family.
     """
     base = F.regexp_replace("model", "__(effort|max-tokens)-.*$", "")
-    effort = lb.artifact_effort("model")
-    family = lb.tag_by_rules([base], list(families))
-    variant = None
+    rows = evals.withColumns({
+        "family": F.coalesce(lb.tag_by_rules([base], list(families)), base),
+        "effort": lb.artifact_effort("model"),
+        "max_tokens": lb.artifact_max_tokens("model"),
+    })
+    variant = F.col("effort")
     for rule in families:
         if rule.get("prefix"):
-            hit = lb.tag_by_rules([base], [rule]).isNotNull()
             cut = F.replace(base, F.lit(rule["prefix"]), F.lit(""))
-            variant = F.when(hit, cut) if variant is None else variant.when(hit, cut)
-    variant = effort if variant is None else variant.otherwise(effort)
-    return evals.withColumns({
-        "family": F.coalesce(family, base),
-        "variant": variant,
-        "effort": effort,
-        "max_tokens": lb.artifact_max_tokens("model"),
-    })
+            variant = F.when(F.col("family") == rule["tag"], cut).otherwise(variant)
+    return rows.withColumn("variant", variant)
