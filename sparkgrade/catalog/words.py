@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkgrade.catalog.registry import items, label_verdicts, query
 from sparkgrade.functions import wordlists as wl
 from sparkgrade.operators import keywords
+from sparkgrade.plans.reports import KeywordReport, keyword_report
 
 
 def _quoted(words: list[str]) -> str:
@@ -98,6 +99,13 @@ def _wrong(spark: SparkSession, folder: str) -> DataFrame:
     return label_verdicts(spark, folder).filter(~F.col("is_correct")).join(splits, "id").select("model", "split", "id")
 
 
+def _report(spark: SparkSession, folder: str) -> KeywordReport:
+    """The whole job: phrases, statistics, pruning, top three, links."""
+    questions = items(spark, folder).withColumn("question_type", F.col("chapter"))
+    evals = _wrong(spark, folder).withColumn("is_correct", F.lit(False))
+    return keyword_report(questions, evals, "question_final")
+
+
 @query(f"WITH {_PHRASES_SQL} SELECT keyword, count(*) AS question_count FROM phrases GROUP BY 1")
 def keyword_df(spark: SparkSession, folder: str) -> DataFrame:
     """Number of questions that hold each phrase of one to three words."""
@@ -123,8 +131,7 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_PRUNED_SQL} SELECT {_COLUMNS} FROM kept")
 def keyword_pruned(spark: SparkSession, folder: str) -> DataFrame:
     """Phrases left after dropping those a better-ranked longer phrase covers."""
-    found, wrong = _found(spark, folder), _wrong(spark, folder)
-    return keywords.prune_nested(keywords.keyword_stats(found, wrong), found, wrong)
+    return _report(spark, folder).stats
 
 
 _SELECTED = ["tion", "discount factor", "inan", "nowhere at all"]
@@ -159,8 +166,4 @@ def keyword_selected(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def keyword_links(spark: SparkSession, folder: str) -> DataFrame:
     """Wrong questions behind each of the top three phrases per model."""
-    found, wrong = _found(spark, folder), _wrong(spark, folder)
-    stats = keywords.prune_nested(keywords.keyword_stats(found, wrong), found, wrong)
-    questions = items(spark, folder).withColumn("question_type", F.col("chapter"))
-    links = keywords.keyword_links(keywords.top_keywords(stats, 3), found, wrong, questions, "question_final")
-    return links.select("model", "keyword", "split", "id", "chapter", "question_type", "question_preview")
+    return _report(spark, folder).links.select("model", "keyword", "split", "id", "chapter", "question_type", "question_preview")

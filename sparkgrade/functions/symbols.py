@@ -98,16 +98,20 @@ def normalize_expression(expression: Column | str) -> Column:
     return tx.clean_text(F.regexp_replace(tx.let(plain, flatten), KEPT_CALL, "$1($2)"))
 
 
+def tokens_of_normal(normal: Column) -> Column:
+    """Sorted distinct identifiers of an expression in normal form."""
+    # The sentinel for "no expression" holds no symbols.
+    found = F.regexp_extract_all(F.regexp_replace(normal, f"^{MISSING}$", ""), F.lit(IDENTIFIER), F.lit(0))
+    return F.array_sort(F.array_except(found, tx.words(RESERVED_NAMES)))
+
+
 def symbol_tokens(expression: Column | str) -> Column:
     """Sorted distinct identifiers of an expression, reserved names left out."""
-    # The sentinel for "no expression" holds no symbols.
-    normal = F.regexp_replace(normalize_expression(expression), f"^{MISSING}$", "")
-    found = F.regexp_extract_all(normal, F.lit(IDENTIFIER), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda s: ~s.isin(RESERVED_NAMES))))
+    return tokens_of_normal(normalize_expression(expression))
 
 
 def _is_symbol(name: Column) -> Column:
-    return name.rlike(r"(?U)^[A-Za-z_]\w*$") & ~name.isin(RESERVED_NAMES)
+    return name.rlike(r"(?U)^[A-Za-z_]\w*$") & ~F.array_contains(tx.words(RESERVED_NAMES), name)
 
 
 def allowed_symbols(symbols: Column | str) -> Column:
@@ -163,8 +167,12 @@ def resolve_allowed(direct: Column | str, contract: Column | str, reference: Col
 
 def symbol_mismatch(expression: Column | str, allowed: Column | str) -> Column:
     """Identifiers used but not allowed; an empty allowed list allows everything."""
-    used = F.array_sort(F.array_except(symbol_tokens(expression), as_column(allowed)))
-    return F.when(F.size(as_column(allowed)) > 0, used).otherwise(F.array().cast("array<string>"))
+    return off_list(symbol_tokens(expression), as_column(allowed))
+
+
+def off_list(used: Column, allowed: Column) -> Column:
+    """Used symbols that an (unless empty) list does not allow."""
+    return F.when(F.size(allowed) > 0, F.array_except(used, allowed)).otherwise(F.array().cast("array<string>"))
 
 
 def symbol_section(allowed: Column | str, definitions: Column | str) -> Column:

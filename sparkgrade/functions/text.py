@@ -5,7 +5,7 @@ Every function takes and returns a ``Column`` and stays inside the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,16 +76,21 @@ def or_missing(text: Column | str) -> Column:
     return F.coalesce(blank_to_null(text), F.lit(MISSING))
 
 
-def lookup(key: Column, table: dict[str, object]) -> Column:
-    """Value of ``key`` in a small fixed table, NULL when it is not there."""
-    entries = [F.lit(part) for pair in table.items() for part in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+def words(names: Sequence[str]) -> Column:
+    """A fixed list of words as an array (one literal, folded when the plan is optimised)."""
+    return F.split(F.lit(",".join(names)), ",") if names else F.array().cast("array<string>")
+
+
+def lookup(key: Column, table: dict[str, str]) -> Column:
+    """Value of ``key`` in a small fixed table of words, NULL when it is not there."""
+    entries = ",".join(f"{name}:{value}" for name, value in table.items())
+    return F.try_element_at(F.str_to_map(F.lit(entries), F.lit(","), F.lit(":")), key)
 
 
 def loose_bool(value: Column | str) -> Column:
     """True / False from a loosely typed flag, NULL when it is neither."""
-    spellings = dict.fromkeys(LOOSE_TRUE, True) | dict.fromkeys(LOOSE_FALSE, False)
-    return lookup(F.lower(strip(as_column(value).cast("string"))), spellings)
+    spellings = dict.fromkeys(LOOSE_TRUE, "true") | dict.fromkeys(LOOSE_FALSE, "false")
+    return lookup(F.lower(strip(as_column(value).cast("string"))), spellings).cast("boolean")
 
 
 def answer_bool(text: Column | str) -> Column:

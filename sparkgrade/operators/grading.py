@@ -20,6 +20,7 @@ from sparkgrade.functions.text import MISSING, as_column
 from sparkgrade.operators import identity, overlay
 
 ITEM = "struct<key:string,reference:string,prediction:string,is_correct:boolean,detail:string>"
+PARTS = "array<struct<key:string,reference:string,prediction:string,rule:string>>"
 SUFFIX = "_with_symbol_mismatch"
 ANSWER_FIELDS = ["answer_sympy", "final_answer_for_compare", "answer_boxed", "answer_json"]
 RESULT_COLUMNS = [
@@ -77,26 +78,54 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _json_items(gold: Column, answer: Column, modes: Column, allowed: Column) -> Column:
-    """One struct per gold key: both values, the rule that settles it, symbols off the list.
+def _json_parts(gold: Column, answer: Column, modes: Column) -> Column:
+    """One struct per gold key: both values and the rule that settles them.
 
     A gold value that reads as a boolean is compared as one before its declared mode.
     """
-    def item(entry: Column) -> Column:
+    def part(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
         given = F.try_element_at(answer, key)
-        mode = F.lower(tx.strip(F.try_element_at(modes, key)))
-        mode = F.when(mode.isin("sympy", "text"), mode).when(an.looks_like_math(value), "sympy").otherwise("text")
-        rule = F.when(given.isNull(), "missing").when(tx.answer_bool(value).isNotNull(), "bool").otherwise(mode)
-        listed = F.when(F.size(allowed) > 0, allowed).otherwise(sy.symbol_tokens(value))
-        symbolic = rule == "sympy"
+        declared = F.lower(tx.strip(F.try_element_at(modes, key)))
+        rule = (
+            F.when(given.isNull(), "missing")
+            .when(tx.answer_bool(value).isNotNull(), "bool")
+            .when(declared.isin("sympy", "text"), declared)
+            .when(an.looks_like_math(value), "sympy")
+            .otherwise("text")
+        )
         return F.struct(
-            key.alias("key"), value.alias("reference"), given.alias("prediction"), rule.alias("rule"),
-            F.when(symbolic, sy.symbol_mismatch(given, listed)).otherwise(_empty("string")).alias("off_prediction"),
-            F.when(symbolic, sy.symbol_mismatch(value, listed)).otherwise(_empty("string")).alias("off_reference"),
+            key.alias("key"), value.alias("reference"), given.alias("prediction"), rule.alias("rule")
         )
 
-    return F.transform(F.array_sort(F.map_entries(gold)), item)
+    return F.transform(F.array_sort(F.map_entries(gold)), part)
+
+
+def _with_expressions(part: Column) -> Column:
+    """The part with both values in normal form, NULL unless they are expressions."""
+    symbolic = part["rule"] == "sympy"
+    return F.struct(
+        *[part[f].alias(f) for f in ("key", "reference", "prediction", "rule")],
+        F.when(symbolic, sy.normalize_expression(part["reference"])).alias("gold"),
+        F.when(symbolic, sy.normalize_expression(part["prediction"])).alias("given"),
+    )
+
+
+def _with_symbols(part: Column, allowed: Column) -> Column:
+    """The part with its reference's symbols and the symbols that are off the list.
+
+    Without a list the reference's own symbols are the list.
+    """
+    def audit(own: Column) -> Column:
+        listed = F.when(F.size(allowed) > 0, allowed).otherwise(own)
+        return F.struct(
+            *[part[f].alias(f) for f in ("key", "reference", "prediction", "rule", "gold", "given")],
+            own.alias("own"),
+            F.coalesce(sy.off_list(sy.tokens_of_normal(part["given"]), listed), _empty("string")).alias("off_prediction"),
+            F.coalesce(sy.off_list(own, listed), _empty("string")).alias("off_reference"),
+        )
+
+    return tx.let(F.coalesce(sy.tokens_of_normal(part["gold"]), _empty("string")), audit)
 
 
 def _settle(item: Column, verdict: Column) -> Column:
@@ -147,43 +176,26 @@ def grade(joined: DataFrame) -> DataFrame:
         "_allowed": F.when(F.size("_listed") > 0, F.col("_listed"))
         .otherwise(sy.parse_contract("symbol_contract")["allowed_symbols"]),
     })
-    rows = rows.withColumn(
-        "_allowed",
-        F.when((F.size("_allowed") == 0) & (F.col("_mode") == "sympy"), sy.symbol_tokens("_gold_text"))
-        .otherwise(F.col("_allowed")),
-    )
 
-    symbolic_item = F.array(F.struct(
-        F.lit("").alias("key"), F.col("_gold_text").alias("reference"), F.col("_given_text").alias("prediction"),
-        F.lit("sympy").alias("rule"),
-        sy.symbol_mismatch("_given_text", "_allowed").alias("off_prediction"),
-        sy.symbol_mismatch("_gold_text", "_allowed").alias("off_reference"),
-    ))
-    kind = (
-        "array<struct<key:string,reference:string,prediction:string,rule:string,"
-        "off_prediction:array<string>,off_reference:array<string>>>"
-    )
     both_json = F.col("_gold_json").isNotNull() & F.col("_given_json").isNotNull()
-    items = (
-        F.when(~F.col("has_answer"), F.array().cast(kind))
-        .when(F.col("_mode") == "sympy", symbolic_item.cast(kind))
-        .when(both_json, _json_items(
-            F.col("_gold_json"), F.col("_given_json"), F.col("reference_answer_json_modes"), F.col("_allowed")
-        ).cast(kind))
-        .otherwise(F.array().cast(kind))
+    one_expression = F.array(F.struct(
+        F.lit("").alias("key"), F.col("_gold_text").alias("reference"),
+        F.col("_given_text").alias("prediction"), F.lit("sympy").alias("rule"),
+    ))
+    parts = (
+        F.when(F.col("has_answer") & (F.col("_mode") == "sympy"), one_expression.cast(PARTS))
+        .when(F.col("has_answer") & both_json, _json_parts(
+            F.col("_gold_json"), F.col("_given_json"), F.col("reference_answer_json_modes")
+        ).cast(PARTS))
+        .otherwise(F.array().cast(PARTS))
     )
-    rows = rows.withColumn("_items", items)
-
-    def expressions(field: str) -> Column:
-        return F.transform(
-            "_items", lambda i: F.when(i["rule"] == "sympy", sy.normalize_expression(i[field]))
-        )
-
-    rows = rows.withColumns({"_left": expressions("prediction"), "_right": expressions("reference")})
+    rows = rows.withColumn("_parts", parts)
+    rows = rows.withColumn("_parts", F.transform("_parts", _with_expressions))
+    rows = rows.withColumn("_items", F.transform("_parts", lambda p: _with_symbols(p, F.col("_allowed"))))
     # Rows without symbolic parts send NULL to Python and get NULL back.
-    needed = F.exists("_left", lambda e: e.isNotNull())
+    needed = F.exists("_parts", lambda p: p["gold"].isNotNull())
     rows = rows.withColumn("_verdicts", identity.expression_verdicts(
-        F.when(needed, F.col("_left")), F.when(needed, F.col("_right"))
+        F.when(needed, F.col("_parts.given")), F.when(needed, F.col("_parts.gold"))
     ))
     verdicts = F.coalesce("_verdicts", F.transform("_items", lambda _: F.lit(None).cast("string")))
     rows = rows.withColumn("_settled", F.zip_with("_items", verdicts, _settle))
@@ -192,6 +204,8 @@ def grade(joined: DataFrame) -> DataFrame:
     off_prediction = F.array_distinct(F.flatten(F.transform("_items", lambda i: i["off_prediction"])))
     off_reference = F.array_distinct(F.flatten(F.transform("_items", lambda i: i["off_reference"])))
     rows = rows.withColumns({
+        "_allowed": F.when((mode == "sympy") & (F.size("_allowed") == 0) & F.col("has_answer"), F.col("_items")[0]["own"])
+        .otherwise(F.col("_allowed")),
         "_off_prediction": off_prediction,
         "_off_reference": off_reference,
         "_missing_keys": F.when(both_json, an.json_missing_keys(F.col("_gold_json"), F.col("_given_json"))),

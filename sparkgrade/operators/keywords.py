@@ -8,6 +8,7 @@ collected: coverage and set inclusion are counts over exploded rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,69 +22,80 @@ from sparkgrade.functions.text import as_column
 from sparkgrade.operators.keys import head_per_group
 
 
-def strip_latex(text: Column | str) -> Column:
-    """Drop macros and mark-up, keeping the content of formatting macros."""
-    body = F.regexp_replace(
-        as_column(text), r"\\(?:texttt|textbf|textit|emph|mathrm|mathbf|mathit)\s*\{([^{}]*)\}", " $1 "
-    )
-    body = F.regexp_replace(body, r"\\(?:begin|end)\s*\{[^{}]*\}", " ")
-    body = F.regexp_replace(body, r"\\[a-zA-Z]+\*?", " ")
-    return F.regexp_replace(body, r"[_^{}$&%#~\\]", " ")
+GAP = "|"
+TOKEN = "[a-z0-9]++"
 
 
-def tokens(text: Column | str, stopwords: Sequence[str] = (), min_length: int = 3, aliases: dict[str, str] | None = None) -> Column:
-    """Lower-case words; a stop word or short word leaves a gap (NULL).
-
-    Digits at either end are cut. Aliases apply after the stop-word test.
-    """
-    words = F.regexp_extract_all(
-        F.replace(strip_latex(text), F.lit("-"), F.lit(" ")), F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)
-    )
+def strip_latex(text: Column | str) -> Column:
+    """Drop macros, keeping the content of formatting macros. Other mark-up separates words."""
+    def unmarked(body: Column) -> Column:
+        plain = F.regexp_replace(
+            body, r"\\(?:texttt|textbf|textit|emph|mathrm|mathbf|mathit)\s*\{([^{}]*)\}", " $1 "
+        )
+        plain = F.regexp_replace(plain, r"\\(?:begin|end)\s*\{[^{}]*\}", " ")
+        return F.regexp_replace(plain, r"\\[a-zA-Z]+\*?", " ")
 
-    def token(word: Column) -> Column:
-        bare = F.regexp_replace(F.lower(word), "^_+|_+$", "")
-        return F.regexp_replace(bare, "^[0-9]+|[0-9]+$", "")
+    body = as_column(text)
+    return F.when(F.contains(body, F.lit("\\")), unmarked(body)).otherwise(body)
 
-    def keep(name: Column) -> Column:
-        dropped = F.length(name) < min_length
-        if stopwords:
-            dropped = dropped | name.isin(sorted(stopwords))
-        return F.when(~dropped, _renamed(name, aliases or {}))
 
-    return F.transform(F.transform(words, token), keep)
+def _by_initial(names: Sequence[str]) -> list[str]:
+    """The words as one alternative per first letter, so most are ruled out by one character."""
+    groups = groupby(sorted(set(names)), key=lambda name: name[0])
+    return [f"{initial}(?:{'|'.join(name[1:] for name in group)})" for initial, group in groups]
 
 
-def _renamed(name: Column, aliases: dict[str, str]) -> Column:
-    renamed = None
-    for old, new in aliases.items():
-        renamed = F.when(name == old, new) if renamed is None else renamed.when(name == old, new)
-    return name if renamed is None else renamed.otherwise(name)
+def token_text(
+    text: Column | str, stopwords: Sequence[str] = (), min_length: int = 3, aliases: dict[str, str] | None = None
+) -> Column:
+    """The tokens of a text as one string, each between blanks, ``|`` for a gap.
 
+    A token starts with a letter; digits at its end are cut, and it is in lower case. A
+    stop word or short token leaves a gap. Aliases apply after the stop-word test.
+    Working on one string keeps all of this in a few regular expressions per text
+    instead of a lambda per token.
+    """
+    separated = F.regexp_replace(
+        F.concat(F.lit(" "), strip_latex(text), F.lit(" ")), "[0-9]*+[^A-Za-z0-9][^A-Za-z]*+", "  "
+    )
+    dropped = [f"[a-z0-9]{{1,{min_length - 1}}}"] if min_length > 1 else []
+    dropped += _by_initial(stopwords)
+    found = F.lower(separated)
+    if dropped:
+        found = F.regexp_replace(found, f" (?:{'|'.join(dropped)}) ", f" {GAP} ")
+    for old, new in (aliases or {}).items():
+        found = F.replace(found, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.replace(found, F.lit("  "), F.lit(" "))
+
+
+def _phrase_pattern(n: int) -> str:
+    """Pattern whose group 1 is the phrase of ``n`` different tokens starting at a blank."""
+    tokens = [f"({TOKEN})"]
+    for i in range(1, n):
+        seen = "|".join(rf"\{j + 2}" for j in range(i))
+        tokens.append(f"(?!(?:{seen}) )({TOKEN})")
+    return f"(?<= )(?=({' '.join(tokens)}) )"
+
+
+def phrases(
+    found: Column, shortest: int = 1, longest: int = 3, aliases: dict[str, str] | None = None, stop: Sequence[str] = ()
+) -> Column:
+    """Distinct n-grams of a :func:`token_text` that cross no gap and repeat no token.
+
+    Overlapping matches come from a look-ahead, the repeat test from back-references.
+    """
+    every = F.concat(*[
+        F.regexp_extract_all(found, F.lit(_phrase_pattern(n)), F.lit(1)) for n in range(max(1, shortest), longest + 1)
+    ])
 
-def phrases(token_column: str, shortest: int = 1, longest: int = 3, aliases: dict[str, str] | None = None, stop: Sequence[str] = ()) -> Column:
-    """Distinct n-grams that cross no gap and repeat no token.
+    def named(raw: Column) -> Column:
+        renamed = F.array_compact(F.array(*[
+            F.when(F.array_contains(raw, old), F.lit(new)) for old, new in (aliases or {}).items()
+        ]).cast("array<string>"))
+        return F.concat(F.array_except(raw, tx.words(list(aliases or {}))), renamed)
 
-    Phrases of n tokens come from those of n-1 tokens and the token that follows each;
-    NULL marks a gap or a repeat and spreads to every longer phrase.
-    """
-    words = F.col(token_column)
-    level, levels = words, []
-    for n in range(1, longest + 1):
-        if n > 1:
-            level = F.zip_with(
-                level,
-                F.slice(words, n, F.greatest(F.size(words), F.lit(1))),
-                lambda head, word: F.when(
-                    ~F.contains(F.concat(F.lit(" "), head, F.lit(" ")), F.concat(F.lit(" "), word, F.lit(" "))),
-                    F.concat(head, F.lit(" "), word),
-                ),
-            )
-        if n >= max(1, shortest):
-            levels.append(level)
-    found = F.array_compact(F.concat(*levels))
-    named = F.transform(found, lambda p: _renamed(p, aliases or {}))
-    kept = F.filter(named, lambda p: ~p.isin(sorted(stop))) if stop else named
-    return F.array_distinct(kept)
+    # array_except also removes repeats.
+    return F.array_except(tx.let(every, named) if aliases else every, tx.words(stop))
 
 
 def question_phrases(
@@ -99,9 +111,11 @@ def question_phrases(
     phrase_aliases: dict[str, str] | None = None,
 ) -> DataFrame:
     """Key columns and the array ``phrases`` of each question; the text is dropped here."""
-    tokenised = questions.select(*keys, tokens(text, stopwords, min_length, token_aliases).alias("_tokens"))
-    found = phrases("_tokens", shortest, longest, phrase_aliases, candidate_stopwords)
-    return tokenised.select(*keys, found.alias("phrases"))
+    found = tx.let(
+        token_text(text, stopwords, min_length, token_aliases),
+        lambda t: phrases(t, shortest, longest, phrase_aliases, candidate_stopwords),
+    )
+    return questions.select(*keys, found.alias("phrases"))
 
 
 def default_word_lists(keep_generic_terms: bool = False) -> dict:
@@ -224,38 +238,51 @@ def _parts(phrase: Column, longest: int) -> Column:
 
 
 def prune_nested(
-    stats: DataFrame, found: DataFrame, wrong: DataFrame, keys: Sequence[str] = ("split", "id"), longest: int = 3
+    stats: DataFrame,
+    found: DataFrame,
+    wrong: DataFrame,
+    keys: Sequence[str] = ("split", "id"),
+    longest: int = 3,
+    renamed: Sequence[str] = tuple(wl.PHRASE_ALIASES.values()),
 ) -> DataFrame:
     """Drop a phrase when a better-ranked phrase contains it and covers the same questions.
 
     Being part of a phrase and being covered by it are both transitive, so dropping by
     *any* better-ranked container equals walking the ranking and testing the kept ones.
-    Inclusion is a count: the part's questions all hold the container exactly when the
-    questions holding both are as many as those holding the part. A phrase has few
-    parts, so the pairs grow with the phrases, not with their square.
+    A question that holds a phrase holds its parts too, so the container covers the same
+    questions exactly when both counts are equal: a join of the statistics with
+    themselves on the parts, no question is looked at. Only a phrase that got its name
+    from an alias may stand where its parts do not; those few are counted per question.
     """
-    bound = max(longest, 2)
-    held = _with_wrong_models(found, wrong, keys).filter("models IS NOT NULL")
-    pairs = held.select("models", "phrases", F.explode("phrases").alias("container"))
-    pairs = pairs.select(
-        "models", "container",
-        F.explode(F.array_intersect(_parts(F.col("container"), bound), F.col("phrases"))).alias("keyword"),
-    )
-    together = pairs.select(F.explode("models").alias("model"), "container", "keyword").groupBy(
-        "model", "container", "keyword"
-    ).agg(F.count("*").alias("both"))
     # Smaller sorts first, so "better ranked" is a comparison of two structs.
     rank = F.struct(
         (-F.col("wrong_question_count")).alias("a"), (-F.col("wrong_coverage")).alias("b"),
         (-phrase_length("keyword")).alias("c"), (-F.col("lift")).alias("d"), F.col("keyword").alias("e"),
     )
     ranked = stats.select("model", "keyword", "wrong_question_count", rank.alias("rank"))
-    outer = ranked.select("model", F.col("keyword").alias("container"), F.col("rank").alias("container_rank"))
+    outer = ranked.select(
+        "model", F.col("keyword").alias("container"), F.col("rank").alias("container_rank"),
+        F.col("wrong_question_count").alias("both"),
+    )
+    bound = max(longest, 2)
+    own = outer.filter(~F.col("container").isin(list(renamed))).select(
+        "*", F.explode(_parts(F.col("container"), bound)).alias("keyword")
+    )
+    held = _with_wrong_models(found, wrong, keys).filter("models IS NOT NULL")
+    together = held.select(
+        "models", "phrases", F.explode(F.array_intersect("phrases", tx.words(list(renamed)))).alias("container")
+    )
+    together = together.select(
+        "models", "container", F.explode(F.array_intersect("phrases", _parts(F.col("container"), bound))).alias("keyword")
+    )
+    together = together.select(F.explode("models").alias("model"), "container", "keyword").groupBy(
+        "model", "container", "keyword"
+    ).agg(F.count("*").alias("both"))
+    aliased = outer.drop("both").join(together, ["model", "container"])
     covered = (
-        together.join(ranked, ["model", "keyword"])
-        .filter(F.col("both") == F.col("wrong_question_count"))
-        .join(outer, ["model", "container"])
-        .filter(F.col("container_rank") < F.col("rank"))
+        own.unionByName(aliased)
+        .join(ranked, ["model", "keyword"])
+        .filter((F.col("both") == F.col("wrong_question_count")) & (F.col("container_rank") < F.col("rank")))
     )
     return stats.join(covered.select("model", "keyword").distinct(), ["model", "keyword"], "left_anti")
 
