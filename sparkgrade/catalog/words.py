@@ -47,7 +47,7 @@ _PHRASES_SQL = rf"""
       UNION ALL SELECT id, split, t1 || ' ' || t2 || ' ' || t3 FROM ahead WHERE t1 <> t2 AND t1 <> t3 AND t2 <> t3),
     found AS (
       SELECT DISTINCT id, split, {_renamed('gram', wl.PHRASE_ALIASES)} AS keyword FROM grams WHERE gram IS NOT NULL),
-    phrases AS (SELECT * FROM found WHERE keyword NOT IN ({_quoted(wl.CANDIDATE_STOPWORDS)}))"""
+    phrases AS MATERIALIZED (SELECT * FROM found WHERE keyword NOT IN ({_quoted(wl.CANDIDATE_STOPWORDS)}))"""
 
 _STATS_SQL = f"""
     {_PHRASES_SQL},
@@ -57,7 +57,7 @@ _STATS_SQL = f"""
     totals AS (SELECT model, count(*) AS total_wrong FROM wrong JOIN cleaned USING (id) GROUP BY 1),
     corpus AS (SELECT keyword, count(*) AS all_question_count FROM phrases GROUP BY 1),
     hits AS (SELECT model, keyword, count(*) AS wrong_question_count FROM phrases JOIN wrong USING (id) GROUP BY 1, 2),
-    stats AS (
+    stats AS MATERIALIZED (
       SELECT model, keyword, wrong_question_count, total_wrong,
              round(wrong_question_count / total_wrong, 6) AS wrong_coverage, all_question_count,
              (SELECT count(*) FROM cleaned) AS all_total,
@@ -71,20 +71,20 @@ _RANK_SQL = (
 
 _PRUNED_SQL = f"""
     {_STATS_SQL},
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {_RANK_SQL}) AS rn FROM stats),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {_RANK_SQL}) AS rn FROM stats),
     nested AS (
-      SELECT p.model, p.keyword, p.wrong_question_count AS n, c.container
+      SELECT p.model, p.keyword, c.container
       FROM (SELECT model, rn, keyword AS container, unnest(CASE len(w)
               WHEN 2 THEN [w[1], w[2]] WHEN 3 THEN [w[1], w[2], w[3], w[1] || ' ' || w[2], w[2] || ' ' || w[3]]
               ELSE [] END) AS part
             FROM (SELECT *, string_split(keyword, ' ') AS w FROM ranked)) c
       JOIN ranked p ON p.model = c.model AND p.keyword = c.part AND p.rn > c.rn),
+    sets AS MATERIALIZED (SELECT model, keyword, list(id) AS ids FROM phrases JOIN wrong USING (id) GROUP BY 1, 2),
     covered AS (
-      SELECT DISTINCT x.model, x.keyword FROM (
-        SELECT n.model, n.keyword, n.container, n.n, count(DISTINCT a.id) AS both_held
-        FROM (SELECT DISTINCT * FROM nested) n JOIN wrong w ON w.model = n.model
-        JOIN phrases a ON a.id = w.id AND a.keyword = n.keyword JOIN phrases b ON b.id = a.id AND b.keyword = n.container
-        GROUP BY 1, 2, 3, 4) x WHERE both_held = n),
+      SELECT DISTINCT n.model, n.keyword FROM nested n
+      JOIN sets a ON a.model = n.model AND a.keyword = n.keyword
+      JOIN sets b ON b.model = n.model AND b.keyword = n.container
+      WHERE list_has_all(b.ids, a.ids)),
     kept AS (SELECT * FROM stats ANTI JOIN covered USING (model, keyword))"""
 
 _COLUMNS = "model, keyword, wrong_question_count, total_wrong, wrong_coverage, all_question_count, all_total, all_coverage, lift"
