@@ -241,8 +241,11 @@ def layered_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
+    return call_log(table(spark, folder, "events"))
+
+
+def call_log(events: DataFrame) -> DataFrame:
     """Events as a call log."""
-    events = table(spark, folder, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     return events.select(
         F.lit("generate").alias("stage"),
@@ -357,7 +360,7 @@ def rerun_list(spark: SparkSession, folder: str) -> DataFrame:
     return rerun.rerun_by_pattern(evals, manual)
 
 
-_USAGE_SQL = """
+USAGE_SQL = """
     SELECT CAST(user_id AS VARCHAR) AS run_id,
            CASE WHEN grouping(m) = 0 THEN 'model' WHEN grouping(op) = 0 THEN 'operation' ELSE 'total' END AS level,
            coalesce(m, op, '') AS name, count(*) AS api_call_count, count(*) FILTER (event_type <> 'error') AS success_count,
@@ -371,7 +374,7 @@ _USAGE_SQL = """
 """
 
 
-@query(_USAGE_SQL)
+@query(USAGE_SQL)
 def usage_totals_by_run(spark: SparkSession, folder: str) -> DataFrame:
     """Calls, errors and tokens per run, and per run by model and by operation."""
     calls = _calls(spark, folder).withColumn("run_id", F.col("run_user"))
