@@ -20,9 +20,6 @@ def last_boxed(text: Column | str) -> Column:
     along the way however long the answer is.
     """
     text = as_column(text)
-    pieces = F.regexp_extract_all(
-        F.substring_index(text, BOX, -1), F.lit(r"[^{}]+|[{}]"), F.lit(0)
-    )
 
     def step(state: Column, piece: Column) -> Column:
         change = F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
@@ -38,10 +35,15 @@ def last_boxed(text: Column | str) -> Column:
 
     def content(parts: Column) -> Column:
         used = F.aggregate(parts, start, step, finish)
-        return tx.strip(F.array_join(F.slice(parts, F.lit(1), used - 1), ""))
+        return F.array_join(F.slice(parts, F.lit(1), used - 1), "")
 
-    inside = tx.null_if_empty(tx.let(pieces, content))
-    return F.coalesce(F.when(F.contains(text, F.lit(BOX)), inside), F.lit(MISSING))
+    def inside(tail: Column) -> Column:
+        nested = tx.let(F.regexp_extract_all(tail, F.lit(r"[^{}]+|[{}]"), F.lit(0)), content)
+        flat = F.substring_index(tail, "}", 1)
+        return F.when(tail.rlike(r"^[^{}]*+\}"), flat).otherwise(nested)
+
+    boxed = tx.null_if_empty(tx.strip(tx.let(F.substring_index(text, BOX, -1), inside)))
+    return F.coalesce(F.when(F.contains(text, F.lit(BOX)), boxed), F.lit(MISSING))
 
 
 def boxed_answer(response: Column | str) -> Column:

@@ -104,17 +104,12 @@ def sub_id(path: Column | str, stem: Column | str) -> Column:
 
 def assignment_group(split: Column, chapter: Column, *ids: Column) -> Column:
     """Numeric prefix of the first id that has one, only for assignment rows; else ``''``."""
-    prefixes = F.array(
-        *[
-            tx.strip(F.split_part(F.split_part(tx.collapse_spaces(i), F.lit("#"), F.lit(1)), F.lit("/"), F.lit(1)))
-            for i in ids
-        ]
-    )
-    numeric = F.filter(prefixes, lambda p: p.rlike(r"^\d+$"))
+    prefixes = [F.regexp_extract(i, r"(?U)^\s*([0-9]+)\s*(?:[#/]|$)", 1) for i in ids]
+    numeric = F.array_remove(F.array_compact(F.array(*prefixes)), F.lit(""))
     in_scope = (tx.collapse_spaces(split) == "chapter_assignment") | (
         tx.collapse_spaces(chapter) == "assignment"
     )
-    return F.when(in_scope, F.coalesce(F.try_element_at(numeric, F.lit(1)), F.lit(""))).otherwise("")
+    return F.when(in_scope, F.coalesce(F.get(numeric, F.lit(0)), F.lit(""))).otherwise("")
 
 
 def tag_by_rules(identifiers: list[Column | str], rules: list[dict]) -> Column:

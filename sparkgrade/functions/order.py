@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.functions.text import as_column
 
 
 def natural_key(text: Column | str) -> Column:
-    """Key under which ``1.2 < 1.10 < 10.1``; text parts compare in lower case.
+    """Text under which ``1.2 < 1.10 < 10.1``; words compare in lower case.
 
-    Each piece is ``(text, digits, number)``. A number compares by its digit count
-    first, then digit by digit, which is numeric order for runs of any length.
+    Each run of digits is written as its digit count and its digits, so plain text order
+    is numeric order for runs of any length; a zero byte ends each word, so a shorter
+    word sorts first. Sort by a column that holds the key, not by the expression: a sort
+    would compute it again for every comparison (see ``sort_by_keys``).
     """
-    pieces = F.filter(
-        F.regexp_extract_all(F.lower(as_column(text)), F.lit(r"\D*\d*"), F.lit(0)), lambda p: p != ""
-    )
-
-    def split_piece(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"\d+$", 0)
-        number = F.regexp_replace(digits, "^0+(?=.)", "")
-        return F.struct(
-            F.regexp_extract(piece, r"^\D*", 0).alias("text"),
-            F.length(number).alias("digits"),
-            number.alias("number"),
-        )
-
-    return F.transform(pieces, split_piece)
+    def written(piece: Column) -> Column:
+        number = F.ltrim(F.regexp_extract(piece, r"\d*$", 0), F.lit("0"))
+        count = F.lpad(F.length(number).cast("string"), 10, "0")
+        word = F.rtrim(piece, F.lit("0123456789"))
+        has_number = F.length(word) < F.length(piece)
+        return F.concat(word, F.lit("\u0000"), F.when(has_number, F.concat(count, number)).otherwise(""))
+
+    pieces = F.regexp_extract_all(F.lower(as_column(text)), F.lit(r"\D+\d*|\d+"), F.lit(0))
+    return F.array_join(F.transform(pieces, written), "")
+
+
+def sort_by_keys(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Sort by key expressions, each computed once per row."""
+    named = {f"_sort{i}": as_column(key) for i, key in enumerate(keys)}
+    return df.withColumns(named).orderBy(*named).drop(*named)
 
 
 def chapter_key(split: Column | str) -> Column:

@@ -83,19 +83,28 @@ def _flatten_calls(expression: Column) -> Column:
 
 
 def normalize_expression(expression: Column | str) -> Column:
-    """Greek macros to names, unknown calls flattened (``u_i(D,R)`` -> ``u_i_D_R``)."""
-    plain = F.regexp_replace(tx.strip(expression), rf"\\var({'|'.join(GREEK_VARIANTS)})\b", r"\\$1")
-    plain = F.regexp_replace(plain, rf"\\({'|'.join(GREEK_NAMES)})\b", "$1")
+    """Greek macros to names, unknown calls flattened (``u_i(D,R)`` -> ``u_i_D_R``).
+
+    Each step runs only on expressions that can need it; the tests are cheap.
+    """
     unknown = rf"(?U)(?<!\w){UNKNOWN_CALL}"
 
+    def name_greek(body: Column) -> Column:
+        plain = F.regexp_replace(body, rf"\\var({'|'.join(GREEK_VARIANTS)})\b", r"\\$1")
+        plain = F.regexp_replace(plain, rf"\\({'|'.join(GREEK_NAMES)})\b", "$1")
+        return F.when(F.contains(body, F.lit("\\")), plain).otherwise(body)
+
     def flatten_once(state: Column, _: Column) -> Column:
-        return F.when(state.rlike(unknown), _flatten_calls(state)).otherwise(state)
+        open_call = F.contains(state, F.lit("(")) & state.rlike(unknown)
+        return F.when(open_call, _flatten_calls(state)).otherwise(state)
 
     def flatten(body: Column) -> Column:
         rounds = F.sequence(F.lit(1), F.lit(FLATTEN_ROUNDS))
-        return F.when(body.rlike(unknown), F.aggregate(rounds, body, flatten_once)).otherwise(body)
+        flat = F.regexp_replace(F.aggregate(rounds, body, flatten_once), KEPT_CALL, "$1($2)")
+        has_call = F.contains(body, F.lit("(")) & body.rlike(r"(?U)\w\s*\(")
+        return F.when(has_call, flat).otherwise(body)
 
-    return tx.clean_text(F.regexp_replace(tx.let(plain, flatten), KEPT_CALL, "$1($2)"))
+    return tx.clean_text(tx.let(tx.let(tx.strip(expression), name_greek), flatten))
 
 
 def tokens_of_normal(normal: Column) -> Column:

@@ -117,12 +117,10 @@ def int_in_text(text: Column | str, default: int | Column) -> Column:
 def points(value: Column | str) -> Column:
     """A weight written as a number or as a fraction such as ``1/3``; otherwise 1.0."""
     def parse(text: Column) -> Column:
-        parts = F.split(text, r"\s*/\s*")
-        whole = parts.getItem(0).rlike(r"^[-+]?\d+$") & F.get(parts, F.lit(1)).rlike(r"^\d+$") & (F.size(parts) == 2)
-        fraction = F.try_divide(
-            F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
-        )
-        return F.coalesce(text.try_cast("double"), F.when(whole, fraction))
+        top = F.regexp_extract(text, r"^([-+]?\d+)\s*/\s*\d+$", 1).try_cast("double")
+        bottom = F.regexp_extract(text, r"/\s*(\d+)$", 1).try_cast("double")
+        # A failing cast is costly, so fractions do not try to be numbers first.
+        return F.when(F.contains(text, F.lit("/")), F.try_divide(top, bottom)).otherwise(text.try_cast("double"))
 
     return F.coalesce(let(strip(as_column(value).cast("string")), parse), F.lit(1.0))
 

@@ -187,12 +187,10 @@ def convert_rows(rows: DataFrame, reply: str = "reply") -> DataFrame:
     comparable = tx.clean_text(parsed["comparable_final_answer"], answer)
     verdict = F.coalesce(tx.answer_bool(comparable), tx.answer_bool(answer))
 
-    def usable(text: Column) -> Column:
-        return _unless_missing(sy.normalize_expression(text))
-
-    symbolic = F.coalesce(
-        usable(parsed["reference_answer_sympy"]), usable(comparable), usable(answer), F.lit(MISSING)
+    candidates = F.transform(
+        F.array(parsed["reference_answer_sympy"], comparable, answer), lambda e: sy.normalize_expression(e)
     )
+    symbolic = F.coalesce(F.get(F.array_remove(candidates, F.lit(MISSING)), F.lit(0)), F.lit(MISSING))
     rows = rows.withColumns({
         "question_type": F.when(judge, "judge").otherwise("value"),
         "answer_kind": F.when(judge, "bool").otherwise("sympy"),
@@ -206,10 +204,12 @@ def convert_rows(rows: DataFrame, reply: str = "reply") -> DataFrame:
     })
     listed = F.col("_contract.allowed_symbols")
     rows = rows.withColumn("allowed_symbols", F.when(F.col("question_type") == "judge", F.array().cast("array<string>"))
-        .when(F.size(listed) > 0, listed).otherwise(sy.symbol_tokens("reference_answer_sympy")))
+        .when(F.size(listed) > 0, listed).otherwise(sy.tokens_of_normal(F.col("reference_answer_sympy"))))
     rows = rows.withColumns({
         "symbol_definitions": F.col("_contract.symbol_definitions"),
-        "symbol_contract_mismatch_symbols": sy.symbol_mismatch("reference_answer_sympy", "allowed_symbols"),
+        "symbol_contract_mismatch_symbols": sy.off_list(
+            sy.tokens_of_normal(F.col("reference_answer_sympy")), F.col("allowed_symbols")
+        ),
         "converted_question": F.when(F.col("question_type") == "judge", F.col("_question")).otherwise(
             sy.ensure_symbol_section("_question", "allowed_symbols", F.col("_contract.symbol_definitions"))
         ),
@@ -234,7 +234,7 @@ def repair_hint() -> Column:
 def sync_request() -> Column:
     """Ask for a rewrite in terms of the allowed symbols; NULL where nothing is to align."""
     section = sy.replace_symbol_section("converted_question", "allowed_symbols", "symbol_definitions")
-    used = sy.symbol_tokens("reference_answer_sympy")
+    used = sy.tokens_of_normal(F.col("reference_answer_sympy"))
     payload = payload_request(
         "Align the symbols of the question:",
         converted_question=section,

@@ -83,7 +83,8 @@ def process_responses(rows: DataFrame, converted: Column | str | None = None) ->
     )
     rows = rows.withColumn("final_answer_for_compare", final)
     allowed = F.coalesce("symbol_contract_allowed_symbols", F.array().cast("array<string>"))
-    off = F.when(mode == "sympy", sy.symbol_mismatch("final_answer_for_compare", allowed)).otherwise(
+    # In symbolic mode the final answer is in normal form already.
+    off = F.when(mode == "sympy", sy.off_list(sy.tokens_of_normal(F.col("final_answer_for_compare")), allowed)).otherwise(
         F.array().cast("array<string>")
     )
     return rows.withColumn("mismatch_symbols", off).withColumn(

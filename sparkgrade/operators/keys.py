@@ -63,14 +63,18 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], rank: str = "rank"
     """Number all rows 1..n in a total order without moving them into one task.
 
     Rows are range-partitioned and sorted, written once, and numbered inside their
-    partition; per-partition counts (one row per partition) give each its offset.
+    partition; per-partition counts (one row per partition) give each its offset. The
+    order must be total: rows with equal keys share a partition.
     """
     spark = df.sparkSession
-    order = as_columns(order)
+    # Key expressions become columns first, or the sort would compute them per comparison.
+    named = {f"_key{i}": key for i, key in enumerate(as_columns(order))}
     placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("*", F.monotonically_increasing_id().alias("_place"))
+        df.withColumns(named)
+        .repartitionByRange(*named)
+        .sortWithinPartitions(*named)
+        .drop(*named)
+        .withColumn("_place", F.monotonically_increasing_id())
     )
     placed = cut_lineage(placed, "ranked")
     # The low 33 bits of the id count rows inside a partition, the rest name it.

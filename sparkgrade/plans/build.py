@@ -69,10 +69,10 @@ def build_dataset(
     problems: DataFrame, checker: Scorer, splitter: Scorer, converter: Scorer, aligner: Scorer,
     cache: DataFrame | None = None, threads: int = 4,
 ) -> Dataset:
-    """All stages; each is written before the next reads it."""
-    stage1 = cut_lineage(check_references(problems, checker, cache, threads), "stage1")
-    stage2 = cut_lineage(split_questions(stage1, splitter, threads), "stage2")
-    stage3 = cut_lineage(convert_items(stage2, converter, aligner, threads), "stage3")
+    """All stages. Replies are written as they come; a stage table is a projection of them."""
+    stage1 = check_references(problems, checker, cache, threads)
+    stage2 = split_questions(stage1, splitter, threads)
+    stage3 = convert_items(stage2, converter, aligner, threads)
     return Dataset(stage1, stage2, stage3, build.dataset_rows(stage3))
 
 
