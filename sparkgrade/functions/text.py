@@ -210,7 +210,7 @@ def keep_stem(original: Column | str, part: Column | str, number: Column | str)
 
 def percent_text(accuracy: Column) -> Column:
     """A ratio as a percentage with one decimal; NULL gives an empty string."""
-    return F.coalesce(F.format_string("%.1f", accuracy * 100.0), F.lit(""))
+    return F.when(accuracy.isNull(), "").otherwise(F.format_string("%.1f", accuracy * 100.0))
 
 
 def ratio(top: Column, bottom: Column) -> Column:
