@@ -42,7 +42,6 @@ ARGUMENT_OPERATORS = [
 
 # A call without nested brackets, of a name that is not kept.
 UNKNOWN_CALL = rf"(?!(?:{'|'.join(KNOWN_CALLABLES)})\b)[A-Za-z_]\w*\s*\([^(){{}}]*\)"
-CALL_PARTS = r"(?Us)^(\w+)\s*\((.*)\)$"
 PIECES = rf"(?U){UNKNOWN_CALL}|\w+|\W+"
 KEPT_CALL = rf"(?U)\b({'|'.join(KNOWN_CALLABLES)})\s*\(\s*([^(){{}}]*?)\s*\)"
 IDENTIFIER = r"(?U)[A-Za-z_]\w*"
@@ -56,7 +55,12 @@ def _squeeze(name: Column) -> Column:
 
 
 def _argument_name(argument: Column) -> Column:
-    name = tx.strip(argument)
+    """An argument as part of a name; most arguments are names already."""
+    plain = argument.rlike("^[A-Za-z][A-Za-z0-9_]*$")
+    return F.when(plain, argument).otherwise(_spelled_out(argument))
+
+
+def _spelled_out(name: Column) -> Column:
     for operator, word in ARGUMENT_OPERATORS:
         name = F.replace(name, F.lit(operator), F.lit(word))
     name = tx.null_if_empty(_squeeze(F.regexp_replace(name, "[^A-Za-z0-9_]", "_")))
@@ -65,9 +69,10 @@ def _argument_name(argument: Column) -> Column:
 
 
 def _flatten_call(call: Column) -> Column:
-    name = F.regexp_extract(call, CALL_PARTS, 1)
-    arguments = tx.strip(F.regexp_extract(call, CALL_PARTS, 2))
-    named = F.array_join(F.transform(F.split(arguments, ","), _argument_name), "_")
+    # A call piece is a name, blanks, and one bracket without brackets inside.
+    name = tx.strip(F.substring_index(call, "(", 1))
+    arguments = tx.strip(F.rtrim(F.substring_index(call, "(", -1), F.lit(")")))
+    named = F.array_join(F.transform(F.split(arguments, r"\s*,\s*"), _argument_name), "_")
     flat = tx.null_if_empty(_squeeze(F.concat_ws("_", name, named)))
     return F.when(arguments == "", name).otherwise(F.coalesce(flat, name))
 

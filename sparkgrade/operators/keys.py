@@ -108,11 +108,11 @@ def sample_rows(df: DataFrame, n: int | Column, seed: int, ids: Sequence[Column
     wanted = n if isinstance(n, Column) else F.lit(n)
     histogram = hashed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
     running = histogram.withColumn("_upto", F.sum("_rows").over(W.orderBy("_bucket")))
-    cut = (
-        running.filter(F.col("_upto") >= wanted)
-        .agg(F.min(F.struct("_bucket", (F.col("_upto") - F.col("_rows")).alias("before"))).alias("cut"))
-        .scalar()
+    edge_row = running.filter(F.col("_upto") >= wanted).agg(
+        F.min(F.struct("_bucket", (F.col("_upto") - F.col("_rows")).alias("before"))).alias("cut")
     )
+    # One row, written so that the histogram is taken once for both parts below.
+    cut = cut_lineage(edge_row, "cut").scalar()
     # No cut means there are fewer rows than wanted: every bucket is whole.
     whole = hashed.filter((F.col("_bucket") < cut["_bucket"]) | cut.isNull())
     edge = hashed.filter(F.col("_bucket") == cut["_bucket"])

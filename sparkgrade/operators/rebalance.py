@@ -10,6 +10,7 @@ from sparkgrade.functions.text import as_column
 from sparkgrade.operators.keys import sample_rows
 from sparkgrade.operators.scoring import reply_json
 from sparkgrade.operators.summary import label_balance
+from sparkgrade.session import cut_lineage
 
 # Columns that hold the question and the answer of an item.
 QUESTION_FIELDS = ["question_original", "split_question", "question_standalone", "question_final"]
@@ -52,7 +53,7 @@ def rebalance_plan(labelled: DataFrame, seed: int = 42, keys: tuple[str, ...] =
     ``labelled`` has ``label`` and ``question_type``. The needed number may be half of
     the table, so it enters as a scalar subquery and no row list reaches the driver.
     """
-    plan = flips_needed(labelled)
+    plan = cut_lineage(flips_needed(labelled), "flips")
     majority, flips = plan.select("majority").scalar(), plan.select("flips").scalar()
     judged = labelled.filter(F.lower(tx.strip("question_type")) == "judge")
     return sample_rows(judged.filter(F.col("label") == majority), flips, seed, list(keys))
