@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrade.llm import pieces, records, token_counts
+from sparkgrade.llm import pieces, records, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +47,9 @@ def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def op8_records(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, written as records and read back."""
     return records.round_trip(table(spark, folder, "documents"), public_tokenizers.path(WORDS), end_id=2)
+
+
+@query()
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash classes of all documents: 3-word shingles, links at 3 bits or fewer."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
