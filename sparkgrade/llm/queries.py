@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrade.llm import pieces, records, simhash, token_counts
+from sparkgrade.llm import pieces, records, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,36 @@ def op8_records(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 3 bits or fewer."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def duck_spans(kind: str, at: int, pattern: str, group: int = 0, least: int = 0) -> str:
+    """DuckDB: the spans of one kind as a list of {s, k, e, kind}."""
+    return f"""list_transform(list_filter(range(1, len(regexp_extract_all(t, '{pattern}')) + 1),
+        lambda i: length(regexp_extract_all(t, '{pattern}', {group})[i]) >= {least}), lambda i: {{
+        's': CAST(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+        'k': {at},
+        'e': CAST(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x)))
+            + list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i], lambda x: length(x))) AS BIGINT),
+        'kind': '{kind}'}})"""
+
+
+def duck_written(spans: str) -> str:
+    return f"array_to_string(list_transform(list_sort({spans}), lambda x: x.kind || ':' || x.s || ':' || x.e), ',')"
+
+
+SPANS_SQL = ",\n".join(
+    duck_spans(r.kind, i, r.pattern.replace("'", "''"), r.group, r.least) + f" AS s{i}" for i, r in enumerate(secret_scan.RULES)
+)
+
+
+@query(f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, {SPANS_SQL} FROM texts)
+SELECT doc_id, len(s0) AS n_assign, len(s1) AS n_access, len(s2) AS n_hex,
+    sha256({duck_written("s0 || s1 || s2")}) AS base_sha256,
+    {duck_written(" || ".join(f"s{i}" for i in range(len(secret_scan.RULES))))} AS spans
+FROM found""")
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base spans, and all spans."""
+    return secret_scan.report(table(spark, folder, "documents"))
