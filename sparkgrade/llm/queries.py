@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrade.llm import pieces, records, secret_scan, simhash, token_counts
+from sparkgrade.llm import line_frequency, pieces, records, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,3 +86,29 @@ FROM found""")
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base spans, and all spans."""
     return secret_scan.report(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+wins AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c
+    FROM (SELECT rid, i, ws[i:i + 2] AS win FROM w, unnest(range(1, len(ws) - 1)) AS u(i))),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM wins WHERE c > 1) GROUP BY rid),
+ls AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line FROM t),
+lw AS (SELECT rid, source, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM ls),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lw WHERE n > 0 GROUP BY rid),
+norm AS (SELECT rid, source, t, n, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g') AS l
+    FROM lw WHERE n > 0),
+often AS (SELECT source, l FROM norm GROUP BY source, l HAVING count(DISTINCT t) > 10
+    AND count(DISTINCT t) > 0.05 * (SELECT count(DISTINCT d.t) FROM t AS d WHERE d.source IS NOT DISTINCT FROM norm.source AND d.rid IN (SELECT rid FROM norm))),
+gone AS (SELECT rid, sum(n) AS n FROM norm JOIN often ON norm.l = often.l AND norm.source IS NOT DISTINCT FROM often.source GROUP BY rid),
+stats AS (SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, CAST(len(ws) - coalesce(gone.n, 0) AS BIGINT) AS left_words
+    FROM t JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND left_words >= 0.3 * n_words AS kept
+FROM stats""")
+def op5_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality rules of every document, with lines frequent on their host removed."""
+    return line_frequency.quality_rules(table(spark, folder, "documents"))
