@@ -13,15 +13,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
+LONGEST = 48
+MOST_COLUMNS = 1024
+
 
 class State(dict):
     """Symbol -> (next state, length of the last token, last token, change of token count)."""
 
-    __slots__ = ("automaton", "suffix", "window")
+    __slots__ = ("automaton", "suffix", "window", "number")
 
-    def __init__(self, automaton: Automaton, suffix: str, window: tuple):
+    def __init__(self, automaton: Automaton, suffix: str, window: tuple, number: int):
         super().__init__()
-        self.automaton, self.suffix, self.window = automaton, suffix, window
+        self.automaton, self.suffix, self.window, self.number = automaton, suffix, window, number
 
     def __missing__(self, symbol: str) -> tuple:
         step = self[symbol] = self.automaton.step(self, symbol)
@@ -43,22 +48,29 @@ class Automaton:
         self.tokens, self.rank, self.limit = tokens, rank, limit
         self.prefixes = {t[:i] for t in tokens for i in range(1, len(t) + 1)}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.names: dict[str, int] = {"": 0}
         self.reset()
 
     def reset(self) -> None:
         """Drop the compiled states (bounded memory; they are compiled again on use)."""
         self.states: dict[tuple, State] = {}
+        self.listed: list[State] = []
+        self.columns = np.full(0x110000, -1, np.int32)
+        self.symbols: list[str] = []
+        self.next = np.full((1024, 64), -1, np.int32)
+        self.last, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.start = self.state("", ((None, 0),))
 
     def full(self) -> bool:
-        if len(self.pairs) > 10 * self.limit:
+        if len(self.pairs) > 2 * self.limit:
             self.pairs.clear()
         return len(self.states) > self.limit
 
     def state(self, suffix: str, window: tuple) -> State:
         key = (suffix, window)
         if key not in self.states:
-            self.states[key] = State(self, suffix, window)
+            self.states[key] = State(self, suffix, window, len(self.listed))
+            self.listed.append(self.states[key])
         return self.states[key]
 
     def merged(self, text: str) -> list[str]:
@@ -113,3 +125,61 @@ class Automaton:
             at -= step[1]
         out.reverse()
         return out
+
+    def column(self, symbols: np.ndarray) -> np.ndarray:
+        """Table columns of symbols (code points), numbering new ones; -1 beyond the limit."""
+        for code in np.unique(symbols[self.columns[symbols] < 0]):
+            if len(self.symbols) < MOST_COLUMNS:
+                self.columns[code] = len(self.symbols)
+                self.symbols.append(chr(code))
+        if len(self.symbols) > self.next.shape[1]:
+            self.next = np.pad(self.next, ((0, 0), (0, self.next.shape[1])), constant_values=-1)
+            return self.column(symbols)
+        return self.columns[symbols]
+
+    def compile(self, state: int, column: int) -> None:
+        """Enter one transition into the table."""
+        after, length, token, _ = self.step(self.listed[state], self.symbols[column])
+        while after.number >= len(self.next):
+            size = len(self.next)
+            self.next = np.pad(self.next, ((0, size), (0, 0)), constant_values=-1)
+            self.last, self.length = np.pad(self.last, (0, size)), np.pad(self.length, (0, size))
+        self.next[state, column] = after.number
+        self.last[after.number] = self.names.setdefault(token, len(self.names))
+        self.length[after.number] = length
+
+    def encode_many(self, words: list[str]) -> list[np.ndarray]:
+        """The tokens (numbers in ``names``) of many words, stepped together through the table."""
+        if self.full():
+            self.reset()
+        out: list = [None] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            groups.setdefault(len(word), []).append(i)
+        for size, places in groups.items():
+            codes = np.frombuffer("".join([words[i] for i in places]).encode("utf-32-le"), np.uint32).reshape(-1, size) if size else None
+            columns = self.column(codes) if size and size <= LONGEST else None
+            if columns is None or (columns < 0).any():
+                for i in places:
+                    out[i] = np.array([self.names.setdefault(t, len(self.names)) for t in self.encode(words[i])], np.int32)
+                continue
+            at, seen = np.zeros(len(places), np.int32), np.empty((size, len(places)), np.int32)
+            for j in range(size):
+                after = self.next[at, columns[:, j]]
+                if (after < 0).any():
+                    missing = np.unique(np.stack([at, columns[:, j]], 1)[after < 0], axis=0)
+                    for state, column in missing.tolist():
+                        self.compile(state, column)
+                    after = self.next[at, columns[:, j]]
+                at = seen[j] = after
+            found, left, lane = np.zeros((len(places), size), np.int32), np.full(len(places), size), np.arange(len(places))
+            filled = np.full(len(places), size)
+            while len(lane):
+                state = seen[left[lane] - 1, lane]
+                filled[lane] -= 1
+                found[lane, filled[lane]] = self.last[state]
+                left[lane] -= self.length[state]
+                lane = lane[left[lane] > 0]
+            for i, row, first in zip(places, found, filled.tolist()):
+                out[i] = row[first:]
+        return out

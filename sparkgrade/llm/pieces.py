@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkgrade.llm.bpe import Automaton
-from sparkgrade.llm.common import BoundedCache, only, per_process
+from sparkgrade.llm.common import only, per_process
 
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
-CACHED_SEGMENTS = 600_000
+CACHED_SEGMENTS = 500_000
+TOGETHER = 1000
 
 
 class PieceEncoder:
@@ -49,23 +50,28 @@ class PieceEncoder:
         scores = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b))
-        self.cache = BoundedCache(self.segment, CACHED_SEGMENTS)
-
-    def segment(self, segment: str) -> str:
-        """The ids of one segment as decimal text, joined by commas."""
-        out = []
-        for token in self.automaton.encode(segment):
-            if token in self.ids:
-                out.append(self.ids[token])
-            else:
-                out += [self.bytes[b] for b in token.encode()]
-        return ",".join(map(str, out))
-
-    def joined(self, text: str) -> str:
-        """All ids of a text as decimal text, joined by commas."""
-        if not text:
-            return ""
-        return ",".join(map(self.cache.__getitem__, SEGMENT.findall(BLANK + text.replace(" ", BLANK))))
+        self.cache: dict[str, str] = {}
+        self.written: list[str] = []
+
+    def text_of(self, token: str) -> str:
+        """A token's id, or the ids of its byte pieces, as decimal text."""
+        known = self.ids.get(token)
+        return str(known) if known is not None else ",".join(str(self.bytes[b]) for b in token.encode())
+
+    def joined(self, texts: list[str]) -> list[str]:
+        """All ids of each text as decimal text, joined by commas; segments are encoded once
+        while the cache has room, and it starts anew between calls when it is full."""
+        cut = [SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        if len(self.cache) > CACHED_SEGMENTS:
+            self.cache = {}
+        new = list({s for segments in cut for s in segments} - self.cache.keys())
+        encoded = self.automaton.encode_many(new)
+        names = self.automaton.names
+        if len(self.written) != len(names):
+            self.written = [self.text_of(n) for n in names]
+        text = self.written.__getitem__
+        self.cache.update(zip(new, [",".join(map(text, e.tolist())) for e in encoded]))
+        return [",".join(map(self.cache.__getitem__, segments)) for segments in cut]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -80,9 +86,9 @@ def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [[int(x) for x in s.split(",")] if (s := pieces.joined(t or "")) else [] for t in part["text"].to_pylist()]
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                ids = [[int(x) for x in s.split(",")] if s else [] for s in pieces.joined([t or "" for t in part["text"].to_pylist()])]
                 back = [pieces.decode(x) if decoded else None for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
@@ -97,10 +103,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """The contract's digests of ``encode`` without moving the ids out of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
-        for batch in batches:
+        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             counts, ids_hash, text_hash = [], [], []
-            for value in batch["text"]:
-                joined = pieces.joined(value.as_py() or "")
+            for joined in pieces.joined([t or "" for t in batch["text"].to_pylist()]):
                 ids = [int(x) for x in joined.split(",")] if joined else []
                 counts.append(len(ids))
                 ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())

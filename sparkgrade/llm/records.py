@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgrade.llm.common import BoundedCache, only, per_process
+from sparkgrade.llm.common import only, per_process
 from sparkgrade.llm.token_counts import machine
 from sparkgrade.session import new_table_path
 
 MASK = 0xA282EAD8
 READ_BYTES = 4 << 20
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
+TOGETHER = 1000
 INDEX = "shard int, record bigint, file string, offset bigint, length bigint, start bigint, n_tokens bigint"
 
 
@@ -71,15 +72,23 @@ def filesystem(folder: str) -> tuple[Any, str]:
 
 
 class WordBytes:
-    """Ids of texts as bytes: cached per blank-separated fragment, joined per text."""
+    """Ids of texts as bytes: encoded once per distinct blank-separated fragment, joined per text."""
 
     def __init__(self, path: str):
         self.machine = machine(path)
         self.width = 2 if self.machine.library.get_vocab_size() <= 1 << 16 else 4
-        self.cache = BoundedCache(lambda f: np.array(self.machine.encode(f), f"<u{self.width}").tobytes(), CACHED_WORDS)
+        self.cache: dict[str, bytes] = {"": b""}
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the cache starts anew between calls when it is full."""
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) > CACHED_WORDS:
+            self.cache = {"": b""}
+        new = list({f for fragments in cut for f in fragments} - self.cache.keys())
+        kind = f"<u{self.width}"
+        self.cache.update(zip(new, [e.astype(kind).tobytes() for e in self.machine.encode(new)]))
+        for fragments in cut:
+            yield b"".join(map(self.cache.__getitem__, fragments))
 
 
 def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
@@ -91,10 +100,10 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
         system, base = filesystem(folder)
         file, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec", None
         record = offset = start = 0
-        for batch in batches:
+        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
             rows = []
-            for value in batch["text"]:
-                framed = frame(b"".join((bytes([words.width]), words.ids(value.as_py() or ""), end)))
+            for ids in words.ids([t or "" for t in batch["text"].to_pylist()]):
+                framed = frame(b"".join((bytes([words.width]), ids, end)))
                 if sink is None:
                     system.create_dir(f"{base}/data", recursive=True)
                     sink = system.open_output_stream(f"{base}/data/{file}")

@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,6 +35,8 @@ WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = {"r": "e", "v": "e", "l": "l"}
 FINAL = 0xF0000
+LATIN = re.compile("[!-~À-ÿ]*")
+LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 def byte_symbols() -> list[str]:
@@ -103,6 +106,7 @@ class Machine:
         """Drop the compiled states (bounded memory; they are compiled again on use)."""
         self.nodes: dict[tuple, Node] = {}
         self.automaton.reset()
+        self.id_table = np.zeros(0, np.int64)
         self.start = self.node("start", self.automaton.start, "")
 
     def node(self, kind: str, inner: State, held: str) -> Node:
@@ -185,23 +189,34 @@ class Machine:
         return total + self.finish(node)
 
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text: words as the library cuts them, each through the automaton."""
-        if self.automaton.full():
-            self.reset()
-        ids, at = [], 0
-        for found in [*self.special.finditer(text), None]:
-            for word in self.words(text[at:found.start()] if found else text[at:]):
-                ids += [self.ids[t] for t in self.automaton.encode(word[:-1] + chr(FINAL + ord(word[-1])))]
-            if found:
-                ids.append(self.library.token_to_id(found.group()))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts: words as the library cuts them, all through the automaton's table."""
+        words, owners, specials = [], [], {}
+        for owner, text in enumerate(texts):
+            at = 0
+            for found in self.special.finditer(text) if "<|" in text else ():
+                words += self.words(text[at:found.start()])
+                specials[len(words)] = self.library.token_to_id(found.group())
+                words.append("")
                 at = found.end()
-        return ids
+            words += self.words(text[at:])
+            owners.append(len(words))
+        encoded = self.automaton.encode_many([w[:-1] + chr(FINAL + ord(w[-1])) if w else "" for w in words])
+        if len(self.id_table) < len(self.automaton.names):
+            self.id_table = np.array([self.ids.get(n, 0) for n in self.automaton.names], np.int64)
+        parts = [np.array([specials[i]]) if i in specials else self.id_table[e] for i, e in enumerate(encoded)]
+        none = np.zeros(0, np.int64)
+        return [
+            parts[a] if b == a + 1 else np.concatenate(parts[a:b]) if b > a else none
+            for a, b in zip([0, *owners], owners)
+        ]
 
     def words(self, part: str) -> list[str]:
         """The words of a text in byte symbols."""
         if part.isascii() and part.isalpha():
             return [part.lower()]
+        if LATIN.fullmatch(part):
+            return ["".join([self.symbols[b] for b in w.encode()]) for w in LATIN_WORD.findall(part.lower())]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
 
