@@ -47,3 +47,16 @@ class BoundedCache(dict):
         if len(word) <= 64:
             self[word] = value
         return value
+
+
+def remainder(column: str, modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``; NULL for a NULL id."""
+    return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def hash_sample(df: DataFrame, column: str, most: int) -> DataFrame:
+    """About ``most`` rows (all, if there are no more), chosen by the hash of ``column``."""
+    total = df.count()
+    if total <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(1 << 20)) < int(most / total * (1 << 20)) + 1)

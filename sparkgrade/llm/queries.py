@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkgrade.llm import line_frequency, pieces, records, secret_scan, simhash, token_counts
+from sparkgrade.llm import language, line_frequency, passages, pieces, quality, records, secret_scan, simhash, templates, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,3 +112,27 @@ FROM stats""")
 def op5_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     """Quality rules of every document, with lines frequent on their host removed."""
     return line_frequency.quality_rules(table(spark, folder, "documents"))
+
+
+@query()
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by a factorisation machine."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, known words first and n-grams for the rest."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query()
+def op3_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other parameters."""
+    return templates.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that documents share, exact or nearly so."""
+    return passages.passages(table(spark, folder, "documents"))
