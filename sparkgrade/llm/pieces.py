@@ -81,22 +81,22 @@ def encoder(path: str) -> PieceEncoder:
     return per_process(("pieces", path), lambda: PieceEncoder(path))
 
 
-def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, ids ARRAY<INT>, decoded STRING."""
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids ARRAY<INT>, and intact
+    (decoding the ids gives the text back)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(start, TOGETHER)
-                ids = [[int(x) for x in s.split(",")] if s else [] for s in pieces.joined([t or "" for t in part["text"].to_pylist()])]
-                back = [pieces.decode(x) if decoded else None for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())],
-                    ["doc_id", "ids", "decoded"],
-                )
+        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            ids = [[int(x) for x in s.split(",")] if s else [] for s in pieces.joined(texts)]
+            intact = [pieces.decode(i) == t for i, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "intact"],
+            )
 
     docs = only(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, intact boolean")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

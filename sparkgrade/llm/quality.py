@@ -20,8 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.llm.common import BoundedCache, hash_sample, only, remainder
@@ -154,29 +155,37 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000) -> FactorM
 
 def with_length(docs: DataFrame) -> DataFrame:
     """doc_id, text and n_chars (the table's metadata, or NULL where it has none)."""
-    chars = docs["n_chars"].cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(docs["doc_id"], docs["text"], chars.alias("n_chars"))
+    return docs.select(docs["doc_id"], docs["text"], length_of(docs).alias("n_chars"))
 
 
-def score(docs: DataFrame, machine: FactorMachine) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 from the threshold on)."""
+def length_of(docs: DataFrame) -> Column:
+    return docs["n_chars"].cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+
+
+def scorer(docs: DataFrame, machine: FactorMachine) -> Column:
+    """The score of every row of ``docs`` (text, n_chars) as a column."""
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own, buckets = FactorMachine(*shared.value), BoundedCache(bucket, CACHED_WORDS)
-        for batch in batches:
-            scores = [own.score(*features(t.as_py() or "", c.as_py(), buckets)) for t, c in zip(batch["text"], batch["n_chars"])]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select([n for n in batch.schema.names if n != "n_chars" and n != "text"]).columns, pa.array(scores, pa.float64())],
-                [*[n for n in batch.schema.names if n != "n_chars" and n != "text"], "score"],
-            )
+        for texts, chars in batches:
+            yield pd.Series([own.score(*features(t or "", None if pd.isna(c) else int(c), buckets)) for t, c in zip(texts, chars)], dtype="float64")
+
+    kind = F.pandas_udf("double", F.PandasUDFType.SCALAR_ITER)
+    return kind(run)(docs["text"], length_of(docs))
 
-    given = with_length(docs)
-    kind = given.schema["doc_id"].dataType.simpleString()
-    found = given.mapInArrow(run, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, machine: FactorMachine) -> DataFrame:
+    """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 from the threshold on)."""
+    found = docs.select(docs["doc_id"], scorer(docs, machine).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a machine learned from ``labels`` does not reject."""
+    return docs.where(scorer(docs, train(docs, labels)) >= THRESHOLD)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn and score: doc_id, held_out, score, predicted."""
     found = score(docs, train(docs, labels))

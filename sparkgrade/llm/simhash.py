@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrade.llm.common import only
+from sparkgrade.llm.common import only, row_key
 from sparkgrade.llm.components import components
 from sparkgrade.session import cut_lineage
 
@@ -55,14 +55,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed BIGINT), one row per row."""
+    """doc_id, key (of the row's content), fp (the fingerprint as a signed BIGINT), one row per row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in batch["text"]), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(values.view(np.int64))], ["doc_id", "key", "fp"])
 
-    docs = only(docs, "doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    docs = only(docs, "doc_id", "text").withColumn("key", row_key("doc_id", "text"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, fp bigint")
 
 
 def bit_table(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -185,17 +185,31 @@ def near_links(nodes: DataFrame, threshold: int = 3) -> DataFrame:
     return held.join(asked, on).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits),
-    component_id (the least doc_id reachable over links of at most ``threshold`` bits)."""
-    prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
+def classes(prints: DataFrame, threshold: int) -> DataFrame:
+    """fp, root (one for each class) and component_id for every distinct fingerprint."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = components(near_links(nodes.select("fp"), threshold))
     rooted = nodes.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"),
     )
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits),
+    component_id (the least doc_id reachable over links of at most ``threshold`` bits)."""
+    prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
+    return prints.join(classes(prints, threshold), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
+    """``docs`` with one row of each class: that of its least id (and of the least content
+    key, where rows share that id or a class has NULL ids only)."""
+    prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
+    first = prints.join(classes(prints, threshold), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = cut_lineage(first.groupBy("root").agg(F.min("key").alias("_key")).select("_key"), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row_key("doc_id", "text").alias("_key"))
+    return rows.join(kept, "_key").dropDuplicates(["_key"]).select("doc.*")
