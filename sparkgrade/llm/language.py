@@ -104,7 +104,7 @@ def train(docs: DataFrame, most_rows: int = 20_000, most_words: int = 20_000, mo
         return F.when(F.length(edged) >= n, F.transform(starts, lambda i: F.substring(edged, i, F.lit(n))))
 
     grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[F.coalesce(of_length(n), F.array()) for n in range(1, 5)]))).alias("gram"))
-    sums = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.length("gram"))
+    sums = grams.where(~F.col("gram").isin("<", ">")).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.length("gram"))
     kept_grams = commonest(sums, "gram", most_grams, "lang", "size").collect()
     names = sorted({r["lang"] for r in kept})
     tables = [log_table([r for r in kept_grams if r["size"] == n], "gram", names) for n in range(1, 5)]

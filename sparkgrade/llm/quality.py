@@ -6,8 +6,8 @@ words of a text hashed into buckets, statistics of its structure and its length,
 steps. The machine is fitted on the driver to a bounded sample of labelled rows, of which
 only hashed features travel; every text is scored whole where it lies.
 
-Defined cases: a NULL text is scored as the empty text; without labels every score is the
-neutral 0.5; labels without an id or quality, or with ids that disagree, are not learned
+Defined cases: a NULL text is scored as the empty text; without labels of both kinds every
+score is the neutral 0.5; labels without an id or quality, or with ids that disagree, are not learned
 from; every row gives one row; other columns are ignored.
 """
 
@@ -38,6 +38,7 @@ FEATURES = BUCKETS + STEPS * len(STRUCTURE)
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
+BATCH = 32
 
 
 def bucket(word: str) -> int:
@@ -89,20 +90,20 @@ class FactorMachine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(at, value), -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 6, epochs: int = 8, rate: float = 0.1, decay: float = 1e-5) -> FactorMachine:
-    """Adaptive gradient descent on the logistic loss, in small batches of a fixed order;
-    the rarer label weighs as much as the other."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], rank: int = 6, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> FactorMachine:
+    """Adaptive gradient descent on the logistic loss, in about ``steps`` batches of a fixed
+    order, but 4 passes at least; the rarer label weighs as much as the other."""
     random = np.random.default_rng(7)
-    machine = FactorMachine(0.0, np.zeros(FEATURES), random.normal(0, 0.02, (FEATURES, rank)))
     good = sum(r[2] for r in rows)
     if not rows or good in (0, len(rows)):
-        return machine
+        return FactorMachine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, rank)))
+    machine = FactorMachine(0.0, np.zeros(FEATURES), random.normal(0, 0.02, (FEATURES, rank)))
     weigh = {1: len(rows) / 2 / good, 0: len(rows) / 2 / (len(rows) - good)}
     w_sum, v_sum, b_sum = np.full(FEATURES, 1e-6), np.full((FEATURES, rank), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(max(4, -(-steps * BATCH // len(rows)))):
         order = random.permutation(len(rows))
-        for start in range(0, len(order), 32):
-            part = [rows[i] for i in order[start:start + 32]]
+        for start in range(0, len(order), BATCH):
+            part = [rows[i] for i in order[start:start + BATCH]]
             sizes = np.array([len(r[0]) for r in part])
             at, value = np.concatenate([r[0] for r in part]), np.concatenate([r[1] for r in part])
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -171,8 +172,7 @@ def scorer(docs: DataFrame, machine: FactorMachine) -> Column:
         for texts, chars in batches:
             yield pd.Series([own.score(*features(t or "", None if pd.isna(c) else int(c), buckets)) for t, c in zip(texts, chars)], dtype="float64")
 
-    kind = F.pandas_udf("double", F.PandasUDFType.SCALAR_ITER)
-    return kind(run)(docs["text"], length_of(docs))
+    return F.pandas_udf("double")(run)(docs["text"], length_of(docs))
 
 
 def score(docs: DataFrame, machine: FactorMachine) -> DataFrame:
