@@ -175,6 +175,28 @@ def numeric_identity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT p_partkey, p_size % 8 IN (6, 7) AS same FROM part
+""")
+def exact_identity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expressions that differ by very little, relatively or absolutely, are not the same."""
+    n, case = (F.col("p_partkey") + 1).cast("string"), F.col("p_size") % 8
+    pairs = [
+        ("10**(-9)*{n}", "2*10**(-9)*{n}"), ("x/10**10 + {n}", "y/10**10 + {n}"), ("1000000*x*{n}", "1000000*x*{n} + 0.001"),
+        ("{n}/3", "{n}*0.333333333"), ("2**100 + {n}", "2**100 + 1 + {n}"), ("log(exp({n}*x))", "{n}*x"),
+        ("(x + {n})**2", "x**2 + 2*{n}*x + {n}*{n}"), ("exp({n} + x)", "exp({n})*exp(x)"),
+    ]
+
+    def written(side: int) -> Column:
+        shown = F.lit(None).cast("string")
+        for i, pair in enumerate(pairs):
+            shown = F.when(case == i, F.replace(F.lit(pair[side]), F.lit("{n}"), n)).otherwise(shown)
+        return shown
+
+    verdict = identity.expression_verdict(written(0), written(1))
+    return table(spark, folder, "part").select("p_partkey", (verdict == identity.EQUAL).alias("same"))
+
+
 def _relations(column: str) -> tuple[Column, Column]:
     """Pairs of relations, written differently, from a number and a kind."""
     n, kind = text("l_linenumber"), F.col(column)

@@ -124,11 +124,11 @@ def boxed_extract(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
            CASE l_returnflag WHEN 'A' THEN 'u_' || l_linenumber || '_D_n_' || CAST(l_quantity AS INT)
-                WHEN 'N' THEN 'alpha*sqrt(p_' || l_linenumber || ')+epsilon' ELSE 'N/A' END AS expression,
+                WHEN 'N' THEN 'alpha*sqrt(p_n_' || l_linenumber || ')+epsilon' ELSE 'N/A' END AS expression,
            CASE l_returnflag WHEN 'A' THEN 'u_' || l_linenumber || '_D_n_' || CAST(l_quantity AS INT)
-                WHEN 'N' THEN 'alpha,epsilon,p_' || l_linenumber ELSE '' END AS symbols,
+                WHEN 'N' THEN 'alpha,epsilon,p_n_' || l_linenumber ELSE '' END AS symbols,
            CASE l_returnflag WHEN 'A' THEN 'u_' || l_linenumber || '_D_n_' || CAST(l_quantity AS INT)
-                WHEN 'N' THEN 'alpha*sqrt(p_' || l_linenumber || ')+epsilon' ELSE 'x' END AS converted,
+                WHEN 'N' THEN 'alpha*sqrt(p_n_' || l_linenumber || ')+epsilon' ELSE 'x' END AS converted,
            l_returnflag = 'N' AS symbolic_text
     FROM lineitem
 """)
@@ -140,19 +140,45 @@ def normalize_expressions(spark: SparkSession, folder: str) -> DataFrame:
         flag == "A", F.concat(F.lit("u_"), line, F.lit("(D,  "), quantity, F.lit(")"))
     ).when(flag == "N", F.concat(F.lit("\\alpha*sqrt( p("), line, F.lit(") )+\\varepsilon"))).otherwise(" ")
     reply = F.concat(F.lit("<think>\nno</think>\n```python\nignored\n`"), raw, F.lit("`\n```"))
-    # The flattened argument of a number would gain the n_ prefix; here it stays a name.
-    raw = F.regexp_replace(raw, r"p\((\d)\)", "p_$1")
-    reply = F.regexp_replace(reply, r"p\((\d)\)", "p_$1")
-    expression = sy.normalize_expression(raw)
-    return table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", expression.alias("expression"),
-        F.array_join(sy.symbol_tokens(raw), ",").alias("symbols"),
+    expression = tx.let(sy.normalize_expression(raw), lambda normal: F.struct(
+        normal.alias("normal"), F.array_join(sy.tokens_of_normal(normal), ",").alias("symbols"),
+    ))
+    rows = table(spark, folder, "lineitem").withColumn("x", expression)
+    return rows.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("x.normal").alias("expression"), "x.symbols",
         F.when(flag == "R", an.converted_expression(F.lit("``` \n ```"), F.lit("x")))
         .otherwise(an.converted_expression(reply, F.lit("x"))).alias("converted"),
         (an.looks_like_math(raw) & (flag == "N")).alias("symbolic_text"),
     )
 
 
+@query("""
+    SELECT s_suppkey, repeat('f_', CAST(12 + s_suppkey % 5 AS INT)) || 'x + g_n_' || s_nationkey AS expression FROM supplier
+""")
+def deep_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls nested twelve to sixteen deep, flattened to one name."""
+    depth = (F.col("s_suppkey") % 5 + 12).cast("int")
+    nested = F.concat(F.repeat(F.lit("f("), depth), F.lit("x"), F.repeat(F.lit(")"), depth), F.lit(" + g("), text("s_nationkey"), F.lit(")"))
+    return table(spark, folder, "supplier").select("s_suppkey", sy.normalize_expression(nested).alias("expression"))
+
+
+@query("""
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a": "5"} and more' WHEN 1 THEN '{"b":"{\\"x\\":\\"u\\",\\"y\\":[1,{\\"p\\":2,\\"q\\":\\"' || event_type || '\\"}]}"}'
+        WHEN 2 THEN '{"a":"true","b":"x True","c":"N/A","d":"false"}' ELSE '{"k":"' || event_type || '"}' END AS canonical
+    FROM events
+""")
+def json_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Text behind an object, nested keys in any order, and Python's literals."""
+    kind, case = F.col("event_type"), F.col("event_id") % 4
+    written = (
+        F.when(case == 0, '{"a": "5"} and more')
+        .when(case == 1, F.concat(F.lit('{"b": {"y": [1, {"q": "'), kind, F.lit('", "p": 2}], "x": "u"}}')))
+        .when(case == 2, "{'a': True, 'b': 'x True', 'c': None, 'd': False}")
+        .otherwise(F.concat(F.lit('{"k": "'), kind, F.lit('"}')))
+    )
+    return table(spark, folder, "events").select("event_id", an.json_or_text(written, an.json_answer(written)).alias("canonical"))
+
+
 def _k() -> Column:
     return F.get_json_object("props", "$.k")
 

@@ -10,6 +10,7 @@ from sparkgrade.functions import text as tx
 from sparkgrade.functions.text import MISSING, as_column
 
 BOX = "\\boxed{"
+QUOTED_OR_NOT = r""""(?:[^"\\]|\\.)*+"|'(?:[^'\\]|\\.)*+'|[^"']+|["']"""
 
 
 def last_boxed(text: Column | str) -> Column:
@@ -55,9 +56,9 @@ def json_answer(raw: Column | str) -> Column:
     """A JSON object answer as ``map<string,string>``, or NULL when it is no object.
 
     Code fences are removed; a bare ``"k": v`` fragment is wrapped in braces; single
-    quotes are accepted. Scalars are collapsed text (``N/A`` when blank), nested
-    values compact JSON. Keys are trimmed, blank keys dropped, the last of repeated
-    keys kept.
+    quotes and ``True``, ``False``, ``None`` are accepted; text behind the object is not.
+    Scalars are collapsed text (``N/A`` when blank), nested values compact JSON with
+    sorted keys. Keys are trimmed, blank keys dropped, the last of repeated keys kept.
     """
     def unfence(body: Column) -> Column:
         opened = F.regexp_replace(body, r"^```(?:json)?\s*|\s*```$", "")
@@ -72,8 +73,25 @@ def json_answer(raw: Column | str) -> Column:
         whole = F.when(fragment, F.concat(F.lit("{"), body, F.lit("}"))).otherwise(body)
         return F.when(F.startswith(whole, F.lit("{")), whole)
 
+    def literals(body: Column) -> Column:
+        def spelled(piece: Column) -> Column:
+            swapped = F.regexp_replace(F.regexp_replace(piece, r"\bNone\b", "null"), r"\bTrue\b", "true")
+            return F.when(piece.rlike("^[\"']"), piece).otherwise(F.regexp_replace(swapped, r"\bFalse\b", "false"))
+
+        pieces = F.regexp_extract_all(body, F.lit(QUOTED_OR_NOT), F.lit(0))
+        return F.when(body.rlike(r"\b(?:True|False|None)\b"), F.array_join(F.transform(pieces, spelled), "")).otherwise(body)
+
+    def object_alone(body: Column) -> Column:
+        # Text behind the object keeps the second field from being read.
+        held = F.from_json(F.concat(F.lit('{"v":'), body, F.lit(',"end":"."}')), "v map<string,string>, end string")
+        return tx.let(held, lambda h: F.when(h["end"] == ".", h["v"]))
+
+    def value_text(value: Column) -> Column:
+        ordered = F.to_json(F.try_parse_json(value))
+        return F.coalesce(F.when(value.rlike(r"^\s*[{\[]"), ordered), tx.clean_text(value))
+
     def tidy(entry: Column) -> Column:
-        return F.struct(tx.strip(entry["key"]).alias("key"), tx.clean_text(entry["value"]).alias("value"))
+        return F.struct(tx.strip(entry["key"]).alias("key"), value_text(entry["value"]).alias("value"))
 
     def last_of_each(pairs: Column) -> Column:
         return F.filter(
@@ -83,8 +101,8 @@ def json_answer(raw: Column | str) -> Column:
             ),
         )
 
-    body = tx.let(tx.let(tx.strip(raw), unfence), wrap)
-    pairs = F.transform(F.map_entries(F.from_json(body, "map<string,string>")), tidy)
+    body = tx.let(tx.let(tx.let(tx.strip(raw), unfence), wrap), literals)
+    pairs = F.transform(F.map_entries(tx.let(body, object_alone)), tidy)
     return F.map_from_entries(F.array_sort(tx.let(pairs, last_of_each)))
 
 

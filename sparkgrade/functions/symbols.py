@@ -32,9 +32,6 @@ GREEK_NAMES = [
 ]
 GREEK_VARIANTS = ["epsilon", "theta", "phi"]
 
-# Fixed value: how often nested unknown calls are flattened.
-FLATTEN_ROUNDS = 12
-
 # Operator spellings inside a flattened argument, longest first.
 ARGUMENT_OPERATORS = [
     ("**", "_pow_"), ("^", "_pow_"), ("*", "_mul_"), ("/", "_div_"), ("+", "_plus_"), ("-", "_minus_"),
@@ -104,7 +101,9 @@ def normalize_expression(expression: Column | str) -> Column:
         return F.when(open_call, _flatten_calls(state)).otherwise(state)
 
     def flatten(body: Column) -> Column:
-        rounds = F.sequence(F.lit(1), F.lit(FLATTEN_ROUNDS))
+        # Each round flattens the innermost calls; there are no more rounds than brackets.
+        brackets = F.length(body) - F.length(F.replace(body, F.lit("("), F.lit("")))
+        rounds = F.sequence(F.lit(1), brackets)
         flat = F.regexp_replace(F.aggregate(rounds, body, flatten_once), KEPT_CALL, "$1($2)")
         has_call = F.contains(body, F.lit("(")) & body.rlike(r"(?U)\w\s*\(")
         return F.when(has_call, flat).otherwise(body)

@@ -119,8 +119,9 @@ def points(value: Column | str) -> Column:
     def parse(text: Column) -> Column:
         top = F.regexp_extract(text, r"^([-+]?\d+)\s*/\s*\d+$", 1).try_cast("double")
         bottom = F.regexp_extract(text, r"/\s*(\d+)$", 1).try_cast("double")
-        # A failing cast is costly, so fractions do not try to be numbers first.
-        return F.when(F.contains(text, F.lit("/")), F.try_divide(top, bottom)).otherwise(text.try_cast("double"))
+        # A failing cast is costly, and it would take suffixes of Java's number texts.
+        number = F.when(text.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"), text.try_cast("double"))
+        return F.when(F.contains(text, F.lit("/")), F.try_divide(top, bottom)).otherwise(number)
 
     return F.coalesce(let(strip(as_column(value).cast("string")), parse), F.lit(1.0))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.functions import text as tx
+from sparkgrade.operators.keys import latest
 
 COUNTERS = [
     "total_compared", "rows_output", "rule_wrong_count", "llm_wrong_answer_count",
@@ -49,7 +50,8 @@ def align_by_key(sources: dict[str, DataFrame], keys: Sequence[str], pos: str |
     """Full outer join of any number of tables on one key, in one shuffle.
 
     Each source becomes a struct column of its other fields (NULL when it has no such
-    row); of repeated rows the last by ``pos`` counts. Aggregating the tagged union
+    row); of repeated rows the last by ``pos`` counts, or by ``_pos`` where a source has it;
+    other sources must not repeat keys. Aggregating the tagged union
     combines copies of a key before the shuffle, where chained outer joins would
     shuffle the growing result again for every source.
     """
@@ -57,15 +59,12 @@ def align_by_key(sources: dict[str, DataFrame], keys: Sequence[str], pos: str |
     for name, df in sources.items():
         for key in keys:
             df = df.filter(tx.blank_to_null(F.col(key).cast("string")).isNotNull())
+        df = latest(df, keys, pos)
         fields = [c for c in df.columns if c not in keys]
         tagged.append(df.select(*keys, F.struct(*fields).alias(name)))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
-    def latest(name: str) -> Column:
-        value = F.max_by(name, F.col(name)[pos]) if pos else F.first(name, ignorenulls=True)
-        return value.alias(name)
-
-    return union.groupBy(*keys).agg(*[latest(name) for name in sources])
+    return union.groupBy(*keys).agg(*[F.first(name, ignorenulls=True).alias(name) for name in sources])
 
 
 def compare_raters(

@@ -14,7 +14,7 @@ from sparkgrade.functions.text import MISSING
 from sparkgrade.operators import overlay
 from sparkgrade.operators.compare import verdict_detail
 from sparkgrade.operators.generation import payload_request
-from sparkgrade.operators.scoring import reply_json
+from sparkgrade.operators.scoring import reply_json, reply_object
 
 REPLY = "is_correct string, reasoning_correct string, judge_reason string"
 
@@ -55,6 +55,14 @@ def judge_join(dataset: DataFrame, answers: DataFrame, keys: Sequence[str] = ("s
     return rows.withColumn("request", F.when(F.col("has_answer"), request))
 
 
+def usable_reply(reply: str) -> bool:
+    """Whether a reply has both verdicts, for asking again where the row was scored."""
+    found = reply_object(reply)
+    return found is not None and all(
+        str(found.get(k)).strip().lower() in (*tx.LOOSE_TRUE, *tx.LOOSE_FALSE) for k in ("is_correct", "reasoning_correct")
+    )
+
+
 def judge_verdict(reply: Column | str) -> Column:
     """``struct<answer_correct, reasoning_correct, judge_reason>``; unusable replies fail both."""
     parsed = reply_json(reply, REPLY)

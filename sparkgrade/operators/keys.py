@@ -171,3 +171,26 @@ def match_problems(df: DataFrame, selectors: DataFrame, number: str = "problem_n
     named = df.select(key, F.explode(F.array_distinct(keys)).alias("selector"))
     hits = named.join(selectors.select(F.trim("selector").alias("selector")), "selector", "left_semi")
     return df.join(hits.select(key).distinct(), key, "left_semi")
+
+
+def members(df: DataFrame, column: str) -> Column:
+    """The distinct values of a column of few values (splits, models) as a scalar array, so
+    that rows are tested against them where they lie."""
+    return df.agg(F.collect_set(column)).scalar()
+
+
+def lookup(df: DataFrame, key: str, value: str) -> Column:
+    """A small table as a scalar map from ``key`` to ``value``; keys must be unique."""
+    return df.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+
+def only_in(df: DataFrame, small: DataFrame, column: str) -> DataFrame:
+    """Rows whose value of a column of few values occurs in ``small``."""
+    return df.where(F.array_contains(members(small, column), F.col(column)))
+
+
+def latest(df: DataFrame, keys: Sequence[str], pos: str | None = None) -> DataFrame:
+    """The last row per key by ``pos``, by ``_pos`` if the table has it; a table without a
+    row order must not repeat keys."""
+    order = pos or ("_pos" if "_pos" in df.columns else None)
+    return last_per_key(df, keys, [order]) if order else require_unique(df, keys)

@@ -19,7 +19,7 @@ from sparkgrade.functions import text as tx
 from sparkgrade.functions import wordlists as wl
 from sparkgrade.functions.order import natural_key
 from sparkgrade.functions.text import as_column
-from sparkgrade.operators.keys import head_per_group
+from sparkgrade.operators.keys import head_per_group, lookup, members
 
 
 GAP = "|"
@@ -139,9 +139,15 @@ def parse_selected(raw: str | None) -> list[str]:
     return list(dict.fromkeys(n for n in names if n))
 
 
+def _exploded(found: DataFrame, phrases: Column, *columns: Column) -> DataFrame:
+    """One row per phrase. From an inner explode the optimiser infers a test of the array's
+    size and pushes it below the projection, where all phrases are extracted a second time."""
+    return found.select(F.explode_outer(phrases).alias("keyword"), *columns).where("keyword IS NOT NULL")
+
+
 def keyword_frequency(found: DataFrame) -> DataFrame:
     """Number of questions holding each phrase."""
-    return found.select(F.explode("phrases").alias("keyword")).groupBy("keyword").agg(
+    return _exploded(found, F.col("phrases")).groupBy("keyword").agg(
         F.count("*").alias("question_count")
     )
 
@@ -176,7 +182,7 @@ def keyword_stats(
     if selected:
         chosen = F.filter(chosen, lambda p: p.isin(list(selected)))
     owners = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("models", F.array().cast("array<string>")))
-    rows = tagged.select(F.explode(chosen).alias("keyword"), owners.alias("owners"))
+    rows = _exploded(tagged, chosen, owners.alias("owners"))
     counts = rows.select("keyword", F.explode("owners").alias("model")).groupBy("keyword", "model").agg(
         F.count("*").alias("n")
     )
@@ -196,7 +202,8 @@ def keyword_stats(
         stats = counts.withColumn("all_question_count", corpus).filter("model IS NOT NULL").select(
             "model", "keyword", F.col("n").alias("wrong_question_count"), "all_question_count"
         ).filter(F.col("wrong_question_count") >= min_wrong)
-    stats = stats.join(totals, "model").withColumn("all_total", questions)
+    stats = stats.withColumn("total_wrong", lookup(totals, "model", "total_wrong")[F.col("model")])
+    stats = stats.where("total_wrong IS NOT NULL").withColumn("all_total", questions)
     wrong_coverage = F.coalesce(F.try_divide("wrong_question_count", "total_wrong"), F.lit(0.0))
     all_coverage = F.coalesce(F.try_divide("all_question_count", "all_total"), F.lit(0.0))
     lift = F.when(all_coverage == 0, float("inf")).otherwise(F.try_divide(wrong_coverage, all_coverage))
@@ -296,8 +303,8 @@ def keyword_links(
     ``max_chars`` is the length of the preview column of this report.
     """
     held = _with_wrong_models(found, wrong, keys).filter("models IS NOT NULL")
-    hits = held.select(*keys, F.explode("phrases").alias("keyword"), "models")
-    hits = hits.join(top.select("keyword").distinct(), "keyword", "left_semi")
+    wanted = F.array_intersect("phrases", members(top, "keyword"))
+    hits = held.select(*keys, F.explode_outer(wanted).alias("keyword"), "models").where("keyword IS NOT NULL")
     hits = hits.select(*keys, "keyword", F.explode("models").alias("model"))
     hits = hits.join(top.select("model", "keyword"), ["model", "keyword"], "left_semi")
     details = questions.select(

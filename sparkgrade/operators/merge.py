@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.functions import text as tx
-from sparkgrade.operators.keys import as_columns, prefixes
+from sparkgrade.operators.keys import as_columns, members, prefixes
 
 
 def pending_rows(dataset: DataFrame, done: DataFrame, keys: Sequence[str] = ("split", "id")) -> DataFrame:
@@ -25,17 +25,16 @@ def prune_plan(artifacts: DataFrame, dataset: DataFrame) -> DataFrame:
     """Mark each artifact row ``kept`` or ``removed``.
 
     Rows with a blank id and rows of splits the dataset does not have are kept. The
-    two flags come from left joins on distinct keys, so nothing is duplicated.
+    splits are a scalar list; ids come from a left join on distinct keys.
     """
     known_ids = dataset.select("split", "id").distinct().withColumn("_known", F.lit(True))
-    known_splits = dataset.select("split").distinct().withColumn("_split", F.lit(True))
+    splits = members(dataset, "split")
     blank = tx.blank_to_null("id").isNull()
-    removed = F.col("_split").isNotNull() & F.col("_known").isNull() & ~blank
+    removed = F.array_contains(splits, F.col("split")) & F.col("_known").isNull() & ~blank
     return (
-        artifacts.join(known_splits, "split", "left")
-        .join(known_ids, ["split", "id"], "left")
+        artifacts.join(known_ids, ["split", "id"], "left")
         .withColumn("status", F.when(removed, "removed").otherwise("kept"))
-        .drop("_known", "_split")
+        .drop("_known")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkgrade.functions import text as tx
 from sparkgrade.functions.text import as_column
 from sparkgrade.operators.keys import sample_rows
-from sparkgrade.operators.scoring import reply_json
+from sparkgrade.operators.scoring import reply_json, reply_object
 from sparkgrade.operators.summary import label_balance
 from sparkgrade.session import cut_lineage
 
@@ -72,6 +72,15 @@ def rewrite_check(reply: Column | str, old_label: Column | str) -> Column:
     )
 
 
+def usable_rewrite(reply: str) -> bool:
+    """Whether a reply can be a rewrite, for asking again where the row was scored; whether
+    its label flipped is for :func:`rewrite_check`, which knows the old one."""
+    found = reply_object(reply) or {}
+    flags = all(str(found.get(k)).strip().lower() in tx.LOOSE_TRUE for k in ("flipped", "natural"))
+    label = str(found.get("new_label")).strip().lower() in (*tx.ANSWER_TRUE, *tx.ANSWER_FALSE)
+    return flags and label and bool(str(found.get("rewritten_question") or "").strip())
+
+
 def accepted_rewrites(planned: DataFrame, reply: Column | str, keys: tuple[str, ...] = ("split", "id")) -> DataFrame:
     """Keys, new question and new label of the rewrites that pass the check."""
     parsed = reply_json(reply, REPLY)

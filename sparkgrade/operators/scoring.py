@@ -10,6 +10,8 @@ that need it. Scoring is not idempotent under recomputation: write the result
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -28,36 +30,42 @@ SCORED = (
 FIELDS = [part.split()[0] for part in SCORED.split(", ")]
 
 
-def _attempt(call: Callable[[str], str], request: str | None, max_attempts: int) -> tuple:
+def _attempt(
+    call: Callable[[str], str], request: str | None, max_attempts: int, accept: Callable[[str], bool] | None = None
+) -> tuple:
     if request is None:
         return None, "skipped", None, 0, 0, [], []
-    errors, spent = [], []
+    errors, spent, response = [], [], None
     for _ in range(max(1, max_attempts)):
         started = time.monotonic()
         try:
             response, error = call(request), None
+            if accept is not None and not accept(response):
+                error = "unusable reply"
         except Exception as problem:  # a failing row must not fail its task
             response, error = None, f"{type(problem).__name__}: {problem}"
         spent.append(int((time.monotonic() - started) * 1000))
         errors.append(error)
         if error is None:
             return response, "success", None, len(errors), sum(spent), errors, spent
-    return None, "error", errors[-1], len(errors), sum(spent), errors, spent
+    return response, "error", errors[-1], len(errors), sum(spent), errors, spent
 
 
 def score(
-    request: Column | str, setup: Callable[[], Callable[[str], str]], max_attempts: int = 1, threads: int = 1
+    request: Column | str, setup: Callable[[], Callable[[str], str]], max_attempts: int = 1, threads: int = 1,
+    accept: Callable[[str], bool] | None = None,
 ) -> Column:
     """Struct column ``SCORED`` from one call per row.
 
     ``setup`` runs once per task and returns the callable (open a client there);
-    ``threads`` overlaps waiting calls inside a task.
+    ``threads`` overlaps waiting calls inside a task. A reply that ``accept`` refuses is a
+    failed attempt; the last such reply stays in ``response`` beside the error.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         call = setup()
         with ThreadPoolExecutor(threads) as pool:
             for batch in batches:
-                results = pool.map(lambda r: _attempt(call, r, max_attempts), batch)
+                results = pool.map(lambda r: _attempt(call, r, max_attempts, accept), batch)
                 yield pd.DataFrame(list(results), columns=FIELDS)
 
     # The evaluated hints name the iterator form of a pandas UDF.
@@ -133,3 +141,17 @@ def call_log(scored: DataFrame, keys: list[str], column: str = "scored") -> Data
 def reply_json(reply: Column | str, fields: str) -> Column:
     """Struct from a JSON reply, code fences removed; NULL when it is unusable."""
     return F.from_json(tx.strip_code_fence(reply), fields)
+
+
+def reply_object(reply: str | None) -> dict | None:
+    """The JSON object of a reply, code fences removed; None when there is none."""
+    body = re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", reply or "")
+    try:
+        found = json.loads(body)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def is_object(reply: str | None) -> bool:
+    return reply_object(reply) is not None

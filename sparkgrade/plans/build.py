@@ -28,9 +28,13 @@ class Dataset:
         })
 
 
-def ask(rows: DataFrame, request: Column, scorer: Scorer, name: str, threads: int) -> DataFrame:
-    """Rows with the scorer's ``reply`` (NULL on failure) and ``reply_status``, written once."""
-    scored = rows.withColumn("_scored", scoring.score(request, scorer, 1, threads)).select(
+def ask(
+    rows: DataFrame, request: Column, scorer: Scorer, name: str, threads: int,
+    accept: Callable[[str], bool] = scoring.is_object, attempts: int = 3,
+) -> DataFrame:
+    """Rows with the scorer's ``reply`` and ``reply_status``, written once. Replies that
+    ``accept`` refuses are asked for again; NULL or the last refused reply is a failure."""
+    scored = rows.withColumn("_scored", scoring.score(request, scorer, attempts, threads, accept)).select(
         "*", F.col("_scored.response").alias("reply"), F.col("_scored.status").alias("reply_status")
     )
     return cut_lineage(scored.drop("_scored"), name)
@@ -85,6 +89,6 @@ def rebalance_judges(items: DataFrame, rewriter: Scorer, seed: int = 42, threads
     request = F.concat(
         F.lit("Rewrite the question so that its label flips. Label: "), F.col("label"), F.lit("\n"), F.col("_text")
     )
-    asked = ask(planned, request, rewriter, "rewrites", threads)
+    asked = ask(planned, request, rewriter, "rewrites", threads, rebalance.usable_rewrite)
     balanced = rebalance.apply_flips(items, rebalance.accepted_rewrites(asked, "reply"))
     return balanced, rebalance.rebalance_report(items, balanced)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.operators import compare, grading, judging, merge, overlay, provenance, scoring, summary
-from sparkgrade.operators.keys import keep_ids, last_per_key
+from sparkgrade.operators.keys import keep_ids, latest, only_in
 from sparkgrade.session import cut_lineage
 
 KEYS = ["split", "id"]
@@ -25,8 +25,8 @@ class Evaluation:
 
 
 def _latest(df: DataFrame, pos: str | None) -> DataFrame:
-    named = df.withColumn("id", F.trim("id")).filter("id != ''")
-    return last_per_key(named, KEYS, [pos]).drop(pos) if pos else named
+    named = latest(df.withColumn("id", F.trim("id")).filter("id != ''"), KEYS, pos)
+    return named.drop(pos or "_pos")
 
 
 def _to_grade(dataset: DataFrame, existing: DataFrame | None, ids: DataFrame | None, force: bool) -> DataFrame:
@@ -68,7 +68,8 @@ def rule_evaluation(
     """Grade one artifact's answers by rule.
 
     ``entries`` are reviewer overrides, ``existing`` the stored results of an earlier
-    run, ``ids`` limits the run to some items.
+    run, ``ids`` limits the run to some items. Of repeated rows the last by ``pos`` counts
+    (by ``_pos`` if not named); tables without a row order must not repeat keys.
     """
     items = _latest(dataset, pos)
     if entries is not None:
@@ -101,7 +102,7 @@ def judge_evaluation(
         items = overlay.apply_overrides(items, entries)
     wanted = _to_grade(items, existing, ids, force)
     asked = scoring.spread(judging.judge_join(wanted, _latest(answers, pos)), tasks)
-    scored = cut_lineage(asked.withColumn("scored", scoring.score("request", judge, 3, threads)), "judged")
+    scored = cut_lineage(asked.withColumn("scored", scoring.score("request", judge, 3, threads, judging.usable_reply)), "judged")
     judged = judging.judged_rows(scored, F.col("scored.response")).drop("scored")
     judged = provenance.stamp(judged, "evaluate-llm", model, judge_model).withColumn("model", F.lit(model))
     rows = cut_lineage(_merged(judged, existing, items, ids, force), "judge_eval")
@@ -141,7 +142,7 @@ def rebuild_summaries(pruned: dict[str, DataFrame], removed: dict[str, DataFrame
     """New score tables for the models that lost rows."""
     out = {}
     for name, df in pruned.items():
-        touched = df.join(removed[name].select("model").distinct(), "model", "left_semi")
+        touched = only_in(df, removed[name], "model")
         build = summary.judge_summary if "answer_correct" in df.columns else summary.accuracy_summary
         out[name] = build(touched)
     return out

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrade.operators import categories, keywords, lengths, rerun, summary
-from sparkgrade.operators.keys import common_ids, require_unique
+from sparkgrade.operators.keys import common_ids, only_in, require_unique
 from sparkgrade.session import cut_lineage
 
 
@@ -93,7 +93,7 @@ def category_report(evals: DataFrame, labels: DataFrame, api_families: Sequence[
     """
     shared = evals.join(common_ids(evals), "id", "left_semi")
     best = categories.representative_configs(shared, api_families).select("model")
-    accuracy = categories.category_accuracy(shared.join(best, "model", "left_semi"), labels)
+    accuracy = categories.category_accuracy(only_in(shared, best, "model"), labels)
     return accuracy, categories.macro_accuracy(accuracy)
 
 

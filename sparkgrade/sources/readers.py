@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkgrade import schemas
 from sparkgrade.functions import labels as lb
 from sparkgrade.functions import text as tx
-from sparkgrade.operators.keys import duplicate_keys, last_per_key, require_unique
+from sparkgrade.operators.keys import duplicate_keys, last_per_key, lookup, only_in, require_unique
 from sparkgrade.operators.overlay import review_entries
 
 
@@ -135,6 +135,7 @@ def read_call_log(spark: SparkSession, root: str) -> DataFrame:
         spark.read.schema(schemas.struct(schemas.CALL_LOG))
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.jsonl")
+        .option("mode", "FAILFAST")
         .json(root)
     )
     return rows.withColumns({"_pos": position(), "date": F.to_date("timestamp_utc")})
@@ -173,13 +174,14 @@ def resolve_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
 def layered(layers: Sequence[DataFrame], owner: Sequence[str] = ("model", "split")) -> DataFrame:
     """Rows of the first layer that has anything for a (model, split).
 
-    Which layer wins is decided on one small row per owner and joined back, so a large
-    split is never gathered in one task.
+    Which layer wins is one small map from owner to layer, a scalar beside the rows, so
+    rows are never shuffled by their owner.
     """
     tagged = [df.withColumn("_layer", F.lit(i)) for i, df in enumerate(layers)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    winner = rows.groupBy(*owner).agg(F.min("_layer").alias("_layer"))
-    return rows.join(winner, [*owner, "_layer"], "left_semi").drop("_layer")
+    name = F.to_json(F.struct(*[F.col(o).cast("string") for o in owner]), {"ignoreNullFields": "false"})
+    winner = rows.groupBy(name.alias("owner")).agg(F.min("_layer").alias("layer"))
+    return rows.where(F.col("_layer") == lookup(winner, "owner", "layer")[name]).drop("_layer")
 
 
 def scored_models(evals: DataFrame, summaries: DataFrame, requested: Sequence[str] = ()) -> DataFrame:
@@ -196,7 +198,7 @@ def scored_models(evals: DataFrame, summaries: DataFrame, requested: Sequence[st
         ready = ready.join(wanted, "model", "left_semi")
     if ready.isEmpty():
         raise ValueError("no model has a rule summary")
-    return evals.join(ready, "model", "left_semi")
+    return only_in(evals, ready, "model")
 
 
 def problem_labels(dataset: DataFrame, categories: Sequence[str]) -> DataFrame:
