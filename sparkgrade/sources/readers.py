@@ -141,9 +141,10 @@ def read_call_log(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumns({"_pos": position(), "date": F.to_date("timestamp_utc")})
 
 
-def latest_by_id(rows: DataFrame, key: str = "id", pos: str = "_pos") -> DataFrame:
-    """Last row per non-blank id in file order."""
-    named = rows.withColumn(key, F.trim(key)).filter(F.col(key) != "")
+def latest_by_id(rows: DataFrame, key: str = "id", pos: str = "_pos", other: str = "question_id") -> DataFrame:
+    """Last row per non-blank id in file order; where the id is blank, ``other`` is the id."""
+    given = [F.trim(c) for c in (key, other) if c in rows.columns]
+    named = rows.withColumn(key, F.coalesce(*[tx.blank_to_null(c) for c in given])).filter(F.col(key).isNotNull())
     return last_per_key(named, [key], [pos])
 
 

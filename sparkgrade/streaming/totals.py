@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkgrade.operators.usage_totals import usage_parts
+from sparkgrade.operators.usage_totals import MEASURES, usage_parts
 
 
 def stream_totals(calls: DataFrame, owner: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -22,17 +23,18 @@ def stream_totals(calls: DataFrame, owner: Sequence[str] = ("run_id",)) -> DataF
 def write_totals(
     calls: DataFrame, path: str, checkpoint: str, owner: Sequence[str] = ("run_id",), once: bool = True
 ) -> StreamingQuery:
-    """Keep the current totals in a table: each batch writes its own version.
+    """Keep the current totals in a table: each batch writes the totals that it changed.
 
-    A batch that is replayed after a failure rewrites the same version, so readers of the
-    newest version never see a half-counted batch. ``once`` takes what is there and stops.
+    A batch that is replayed after a failure rewrites its own version, so readers never see
+    a half-counted batch. What a batch writes grows with the batch, not with the totals.
+    ``once`` takes what is there and stops.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     writer = (
         stream_totals(calls, owner)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(save)
     )
@@ -40,7 +42,7 @@ def write_totals(
 
 
 def latest_totals(spark, path: str) -> DataFrame:
-    """Rows of the newest version; older versions are pruned by their partition value."""
+    """The newest totals of each combination, over all versions."""
     versions = spark.read.parquet(path)
-    newest = versions.agg({"version": "max"}).scalar()
-    return versions.filter(versions["version"] == newest).drop("version")
+    names = [c for c in versions.columns if c not in (*MEASURES, "version")]
+    return versions.groupBy(*names).agg(*[F.max_by(m, "version").alias(m) for m in MEASURES])
