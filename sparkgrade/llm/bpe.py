@@ -3,10 +3,11 @@
 A sequence of tokens is the encoding of its text exactly when each pair of neighbours is
 the encoding of its own text. So every prefix of a word has one last token: among the
 tokens that end there, the one compatible with the last token of the prefix before it.
-What later symbols can still change is the last tokens of those prefixes from which a
-token may still be open. A state is therefore the longest suffix that starts some token
-(the matching automaton's node) with the last token and relative token count at each
-position of that suffix. There are finitely many states; transitions are built on first use.
+What later symbols can still change is decided by the last tokens of those prefixes from
+which a token may still be open. A state is therefore the longest suffix that begins some
+token (the matching automaton's node) with the last token, and the relative token count if
+counts are asked for, at each place where a token may be open. There are finitely many
+states; transitions are built on first use.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 
 LONGEST = 48
 MOST_COLUMNS = 1024
+CLOSED = ("", 0)
 
 
 class State(dict):
@@ -42,13 +44,15 @@ class State(dict):
 class Automaton:
     """``tokens``: the vocabulary, each token a string of symbols (one character each).
     ``rank(left, right)``: priority of merging two neighbours, lower first, or None.
+    Without ``counts`` there are fewer states, and the counts in steps mean nothing.
     """
 
-    def __init__(self, tokens: set[str], rank: Callable[[str, str], float | None], limit: int = 150_000):
-        self.tokens, self.rank, self.limit = tokens, rank, limit
-        self.prefixes = {t[:i] for t in tokens for i in range(1, len(t) + 1)}
+    def __init__(self, tokens: set[str], rank: Callable[[str, str], float | None], counts: bool = True, limit: int = 220_000):
+        self.tokens, self.rank, self.counts, self.limit = tokens, rank, counts, limit
+        self.open = {t[:i] for t in tokens for i in range(1, len(t))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.names: dict[str, int] = {"": 0}
+        self.shapes: dict[str, tuple] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -64,6 +68,8 @@ class Automaton:
     def full(self) -> bool:
         if len(self.pairs) > 2 * self.limit:
             self.pairs.clear()
+        if len(self.shapes) > self.limit:
+            self.shapes.clear()
         return len(self.states) > self.limit
 
     def state(self, suffix: str, window: tuple) -> State:
@@ -93,21 +99,30 @@ class Automaton:
             self.pairs[key] = self.merged(left + right) == [left, right]
         return self.pairs[key]
 
+    def shape(self, grown: str) -> tuple:
+        """What depends on the open suffix and the new symbol alone: the tokens that end
+        there, the suffix that stays open, and which of its places a token may begin at."""
+        if grown not in self.shapes:
+            ends = [grown[-n:] for n in range(len(grown), 0, -1) if n == 1 or grown[-n:] in self.tokens]
+            keep = next(i for i in range(len(grown) + 1) if i == len(grown) or grown[i:] in self.open)
+            places = tuple(grown[-i:] in self.open for i in range(1, len(grown) - keep + 1))
+            self.shapes[grown] = tuple((len(t), t) for t in ends if len(t) == 1 or self.merged(t) == [t]), grown[keep:], places
+        return self.shapes[grown]
+
     def step(self, state: State, symbol: str) -> tuple:
-        grown, window = state.suffix + symbol, state.window
-        for length in range(len(grown), 0, -1):
-            token = grown[-length:]
-            if length > 1 and token not in self.tokens:
-                continue
+        window = state.window
+        ends, suffix, places = self.shape(state.suffix + symbol)
+        for length, token in ends:
             before, count = window[length - 1]
-            if (before is None or self.compatible(before, token)) and (length == 1 or self.merged(token) == [token]):
+            if before is None or self.compatible(before, token):
                 break
         else:
-            raise ValueError(f"no token ends {grown!r}")
-        keep = next(i for i in range(len(grown) + 1) if i == len(grown) or grown[i:] in self.prefixes)
-        depth = len(grown) - keep
-        moved = ((token, 0),) + tuple((t, n - count - 1) for t, n in window[:depth])
-        return self.state(grown[keep:], moved), length, token, count + 1
+            raise ValueError(f"no token ends {state.suffix + symbol!r}")
+        if self.counts:
+            moved = [(t[0], t[1] - count - 1) if held else CLOSED for t, held in zip(window, places)]
+        else:
+            moved = [t if held else CLOSED for t, held in zip(window, places)]
+        return self.state(suffix, ((token, 0), *moved)), length, token, count + 1
 
     def encode(self, word: str) -> list[str]:
         """The tokens of a word: a table of each prefix's last token, read backwards."""

@@ -49,7 +49,7 @@ class PieceEncoder:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == p.NORMAL}
         scores = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b))
+        self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b), counts=False)
         self.cache: dict[str, str] = {}
         self.written: list[str] = []
 

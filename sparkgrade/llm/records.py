@@ -75,7 +75,7 @@ class WordBytes:
     """Ids of texts as bytes: encoded once per distinct blank-separated fragment, joined per text."""
 
     def __init__(self, path: str):
-        self.machine = machine(path)
+        self.machine = machine(path, counts=False)
         self.width = 2 if self.machine.library.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {"": b""}
 
@@ -85,8 +85,9 @@ class WordBytes:
         if len(self.cache) > CACHED_WORDS:
             self.cache = {"": b""}
         new = list({f for fragments in cut for f in fragments} - self.cache.keys())
-        kind = f"<u{self.width}"
-        self.cache.update(zip(new, [e.astype(kind).tobytes() for e in self.machine.encode(new)]))
+        ids, ends = self.machine.encode(new)
+        data, width = ids.astype(f"<u{self.width}").tobytes(), self.width
+        self.cache.update(zip(new, [data[a * width:b * width] for a, b in zip([0, *ends], ends)]))
         for fragments in cut:
             yield b"".join(map(self.cache.__getitem__, fragments))
 

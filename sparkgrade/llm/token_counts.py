@@ -40,6 +40,9 @@ LATIN = re.compile("[!-~À-ÿ]*")
 LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+END = {chr(c): chr(FINAL + c) for c in range(512)}
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself if printable, else the next from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,9 +65,9 @@ class Node(dict):
 
 
 class Machine:
-    """The transducer of one tokenizer file."""
+    """The transducer of one tokenizer file; without ``counts`` it only encodes."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, counts: bool = True, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -84,7 +87,8 @@ class Machine:
 
         ranks = {(symbolic(a), symbolic(b)): i for i, (a, b) in enumerate(spec["model"]["merges"])}
         self.ids = {symbolic(t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
-        self.automaton = Automaton(set(self.ids), lambda a, b: ranks.get((a, b)))
+        self.automaton = Automaton(set(self.ids), lambda a, b: ranks.get((a, b)), counts)
+        self.ids |= {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.classes: dict[str, str] = {}
         self.reset()
 
@@ -195,27 +199,29 @@ class Machine:
         fragments between blanks, of which repeated ones are remembered."""
         return sum(map(self.fragments.__getitem__, text.replace("\n", " ").split(" ")))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of texts: words as the library cuts them, all through the automaton's table."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of texts one after another, and where each text's ids end: words as the
+        library cuts them, all through the automaton's table."""
         words, owners, specials = [], [], {}
-        for owner, text in enumerate(texts):
+        for text in texts:
             at = 0
             for found in self.special.finditer(text) if "<|" in text else ():
                 words += self.words(text[at:found.start()])
-                specials[len(words)] = self.library.token_to_id(found.group())
+                specials[len(words)] = found.group()
                 words.append("")
                 at = found.end()
             words += self.words(text[at:])
             owners.append(len(words))
-        encoded = self.automaton.encode_many([w[:-1] + chr(FINAL + ord(w[-1])) if w else "" for w in words])
-        if len(self.id_table) < len(self.automaton.names):
-            self.id_table = np.array([self.ids.get(n, 0) for n in self.automaton.names], np.int64)
-        parts = [np.array([specials[i]]) if i in specials else self.id_table[e] for i, e in enumerate(encoded)]
-        none = np.zeros(0, np.int64)
-        return [
-            parts[a] if b == a + 1 else np.concatenate(parts[a:b]) if b > a else none
-            for a, b in zip([0, *owners], owners)
-        ]
+        parts = self.automaton.encode_many([w[:-1] + END[w[-1]] if w else "" for w in words])
+        names = self.automaton.names
+        for i, special in specials.items():
+            parts[i] = np.array([names.setdefault(special, len(names))])
+        if len(self.id_table) < len(names):
+            self.id_table = np.array([self.ids.get(n, 0) for n in names], np.int64)
+        if not parts:
+            return np.zeros(0, np.int64), owners
+        ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self.id_table[np.concatenate(parts)], ends[owners].tolist()
 
     def words(self, part: str) -> list[str]:
         """The words of a text in byte symbols."""
@@ -275,8 +281,8 @@ def border_counts(machine: Machine, text: str, chunk: int = CHUNK) -> list[int]:
     return [*counts, base]
 
 
-def machine(path: str) -> Machine:
-    return per_process(("machine", path), lambda: Machine(path))
+def machine(path: str, counts: bool = True) -> Machine:
+    return per_process(("machine", path, counts), lambda: Machine(path, counts))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
