@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgrade.catalog import scores, upkeep  # noqa: F401  their oracles serve here, too
 from sparkgrade.catalog.grades import _DISPATCH_SQL, _orders_as_answers, _orders_as_items
-from sparkgrade.catalog.registry import items, query, table, text
+from sparkgrade.catalog.registry import ORACLES, everything, items, label_verdicts, query, table, text
 from sparkgrade.operators import scoring
-from sparkgrade.plans import evaluate
+from sparkgrade.plans import evaluate, reports
 from sparkgrade.session import cut_lineage
 
 
@@ -98,3 +99,69 @@ def rater_job(spark: SparkSession, folder: str) -> DataFrame:
         _with_older(dataset, "question"), _with_older(rule, "is_correct"), _with_older(judge, "answer_correct"),
     )
     return rows.select("id", "comparison_note")
+
+
+@query(ORACLES["token_limit_rows"])
+def token_limit_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The rerun job: only unanswered rows are looked up in the call log."""
+    rows, _ = reports.token_limit_report(upkeep._answers(spark, folder), upkeep._calls(spark, folder), 32768, ["ts", "event_id"])
+    return rows.select("id", "split", "usage_output_tokens", "max_solve_tokens", "threshold_tokens", "request_id", "model_response_empty")
+
+
+@query(ORACLES["token_limit_funnel"])
+def token_limit_job_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    """The funnel of the rerun job."""
+    _, funnel = reports.token_limit_report(upkeep._answers(spark, folder), upkeep._calls(spark, folder), 32768, ["ts", "event_id"])
+    return funnel.select(everything("split").alias("split"), "rows_scanned", "missing_answer_rows", "missing_without_cost",
+                         "missing_below_threshold", "selected_rows")
+
+
+def _artifacts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of two graders as tables of their own, and a dataset that lost some items."""
+    docs = table(spark, folder, "documents").select(text("doc_id").alias("id"), F.col("lang").alias("split"), F.col("n_chars"))
+    verdicts = label_verdicts(spark, folder).join(docs.select("id", "split"), "id").withColumn("points", F.lit(1.0))
+    return verdicts.withColumn("points_earned", F.col("is_correct").cast("double")), docs.where("n_chars < 2000").select("split", "id")
+
+
+_PRUNED_SQL = """
+    WITH evals AS (
+      SELECT CAST(l.doc_id AS VARCHAR) AS id, d.lang AS split, m.model, CASE m.model WHEN 'quality' THEN quality = 1 ELSE toxic = 0 END AS ok,
+             d.n_chars < 2000 OR d.lang NOT IN (SELECT lang FROM documents WHERE n_chars < 2000) AS kept
+      FROM labels l JOIN documents d USING (doc_id), (VALUES ('quality'), ('toxic')) m(model))"""
+
+
+@query(f"""
+    {_PRUNED_SQL}
+    SELECT model, id, split, ok AS is_correct FROM evals WHERE kept
+""")
+def prune_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored results without the items that left the dataset."""
+    evals, dataset = _artifacts(spark, folder)
+    return evaluate.prune_artifacts({"evals": evals}, dataset)["evals"].select("model", "id", "split", "is_correct")
+
+
+@query(f"""
+    {_PRUNED_SQL}
+    SELECT model, count(*) AS total, count(*) FILTER (ok) AS correct FROM evals
+    WHERE kept AND model IN (SELECT model FROM evals WHERE NOT kept) GROUP BY model
+""")
+def rebuild_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Score tables made anew for the models that lost rows."""
+    evals, dataset = _artifacts(spark, folder)
+    plan = evaluate.prune_artifacts({"evals": evals}, dataset, dry_run=True)["evals"]
+    kept, removed = plan.where("status = 'kept'").drop("status"), plan.where("status = 'removed'")
+    scores = evaluate.rebuild_summaries({"evals": kept}, {"evals": removed})["evals"]
+    return scores.where("level = 'overall'").select("model", "total", "correct")
+
+
+@query(ORACLES["length_breakdown"])
+def length_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The length report, whose word counts are written once."""
+    orders = table(spark, folder, "orders").select(
+        F.lit("orders").alias("model"), text("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("is_correct"),
+    )
+    evals = label_verdicts(spark, folder).unionByName(orders)
+    return reports.length_report(items(spark, folder), evals, "question_final").breakdown.select(
+        "model", "length_bin", "bin_order", "bin_label", "total", "correct",
+        F.round("accuracy", 6).alias("accuracy"), "missing_eval_count", "extra_eval_count",
+    )
