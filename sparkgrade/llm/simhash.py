@@ -47,8 +47,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         return 0
     runs = zip(*[islice(words, i, None) for i in range(min(shingle, len(words)))])
     total, counts = max(1, len(words) - shingle + 1), np.zeros(BITS, np.int64)
-    for _ in range(0, total, BLOCK):
-        size = min(BLOCK, total - _)
+    for done in range(0, total, BLOCK):
+        size = min(BLOCK, total - done)
         hashes = np.fromiter((xxh64_intdigest(b" ".join(r), SEED) for r in islice(runs, size)), ">u8", size)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(size, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
