@@ -179,3 +179,30 @@ def test_usage_fields(apply):
     raw = '{"usage": {"input_tokens": 0, "prompt_tokens": 5, "completion_tokens": 7, "cache_creation": {"ephemeral_5m_input_tokens": 3}}, "service_tier": "s"}'
     got = apply(lambda c: F.struct(*[v.alias(k) for k, v in us.usage_fields(c).items()]), [raw, "x"])
     assert got[0][:5] == (5, 7, 3, 0, "s") and got[1][:5] == (0, 0, 0, 0, "")
+
+
+def test_json_answers_are_whole_objects(apply):
+    def shown(column):
+        return an.json_or_text(column, an.json_answer(column))
+
+    cases = {
+        '{"a": "5"} trailing words': '{"a": "5"} trailing words',
+        '{"a": "5"}}': '{"a": "5"}}',
+        '{"b": {"y": 1, "x": {"q": 2, "p": [3, 4]}}}': '{"b":"{\\"x\\":{\\"p\\":[3,4],\\"q\\":2},\\"y\\":1}"}',
+        "{'a': True, 'b': 'not True', 'c': None}": '{"a":"true","b":"not True","c":"N/A"}',
+        '{"a": "it is True"}': '{"a":"it is True"}',
+        "": "N/A",
+    }
+    assert apply(shown, list(cases)) == list(cases.values())
+
+
+def test_points_take_numbers_only(apply):
+    values = ["2f", "2d", "0x10", "1e1", ".5", "3.", "1/4", "NaN", None]
+    assert apply(tx.points, values) == [1.0, 1.0, 1.0, 10.0, 0.5, 3.0, 0.25, 1.0, 1.0]
+
+
+def test_calls_flatten_at_any_depth(apply):
+    deep = "".join(f"f{i}(" for i in range(20)) + "x" + ")" * 20
+    assert apply(sy.normalize_expression, [deep, "f(g(x),sqrt(h(y)))"]) == [
+        "_".join(f"f{i}" for i in range(20)) + "_x", "f(g_x,sqrt(h_y))",
+    ]
