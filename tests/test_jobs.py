@@ -237,3 +237,29 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     df = cut_lineage(spark.range(3).withColumn("x", F.col("id") * 2), "probe")
     assert df.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_folder(spark).lstrip("/"))
     assert rows_of(df, "x") == [(0,), (2,), (4,)]
+
+
+def test_last_rows_count_without_naming_their_order(spark):
+    items = dataset(spark, "a")
+    twice = spark.createDataFrame([("s", "a", "x", 1), ("s", "a", "1+x", 2)], "split string, id string, final_answer_for_compare string, _pos int")
+    got = evaluate.rule_evaluation(items, twice, "m")
+    assert rows_of(got.rows, "id", "is_correct") == [("a", True)]
+    with pytest.raises(ValueError, match="duplicate"):
+        evaluate.rule_evaluation(items, twice.drop("_pos"), "m")
+
+
+def test_refused_replies_are_asked_again(spark):
+    def scorer():
+        asked = []
+
+        def call(request):
+            asked.append(request)
+            return "{}" if asked.count(request) == int(request) else "no"
+
+        return call
+
+    rows = spark.createDataFrame([("1",), ("3",), ("9",)], "id string").coalesce(1)
+    got = cut_lineage(rows.withColumn("s", scoring.score("id", scorer, 3, accept=scoring.is_object)))
+    assert rows_of(got, "id", "s.status", "s.attempts", "s.response") == [
+        ("1", "success", 1, "{}"), ("3", "success", 3, "{}"), ("9", "error", 3, "no"),
+    ]
