@@ -140,6 +140,14 @@ def test_chains_are_best_chains():
         assert abs(score - max(best.values())) < 1e-6
 
 
+def test_two_passages_of_one_holder_stay_apart(spark):
+    one, two = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    between = lambda name: [f"{name}{i}" for i in range(300)]
+    rows = [(i, " ".join(one + between(f"x{i}-") + two)) for i in (1, 2)]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.start_word, r.end_word) for r in found) == [(0, 200), (500, 700)]
+
+
 def test_odd_rows_have_no_passages_but_shared_ones(spark, odd_rows):
     found = passages.passages(odd_rows).collect()
     assert found == [] and passages.passages(odd_rows.limit(0)).count() == 0
