@@ -93,7 +93,8 @@ def slots(meant: Column, shown: Column, raw: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, _key (content key of the row), item_id, matched, windows, first_word, reworked
     (some slot has another value): one row per distinct row of ``docs`` and item that it holds."""
-    items = cut_lineage(benchmark_windows(benchmark), "benchmark-windows")
+    # Few files, so that the written size, by which Spark decides on a broadcast, is the data's.
+    items = cut_lineage(benchmark_windows(benchmark).coalesce(4), "benchmark-windows")
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), whole().alias("_text"))
     found = windows(rows, "doc_id", "_key").join(items, "code").select(
         "doc_id", "_key", "item_id", "windows", "at", "pos",
