@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from sparkgrade.llm import passages, simhash
 from sparkgrade.llm.components import components
 
@@ -155,3 +156,32 @@ def test_odd_rows_have_no_passages_but_shared_ones(spark, odd_rows):
     same = spark.createDataFrame([(1, long), (1, long), (None, "start " + long), (2, None)], "doc_id long, text string")
     rows = passages.passages(same).select("doc_id", "source_doc_id").distinct().collect()
     assert {frozenset((r.doc_id, r.source_doc_id)) for r in rows} == {frozenset((1, None))}
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_stage_keeps_one_of_every_five_word_class(spark, prose):
+    """Brute force: components of the pairs with five-word similarity 0.8 or more."""
+    pick, rows = random.Random(9), []
+    line = "all rights reserved by the owners of this very page and of all that it holds "
+    for i, base in enumerate(prose(40, seed=5, least=60, most=180)):
+        for _ in range(30 if i == 0 else 4):
+            words = base.split()
+            for _ in range(pick.randrange(5)):
+                words[pick.randrange(len(words))] = f"new{pick.randrange(10**6)}"
+            rows.append((len(rows), (line if i % 3 else "") + " ".join(words).upper() if pick.random() < 0.3 else " ".join(words)))
+    rows += [(None, rows[0][1]), (9000, None), (9001, " "), (9002, "a b"), (9003, "A  b"), (9004, "a c"), (rows[5][0], "another text under this id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [five_words(t) for _, t in rows]
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if not a | b or 5 * len(a & b) >= 4 * len(a | b)]
+    want = slow_classes(pairs, range(len(rows)))
+    assert 40 < len(set(want.values())) < len(rows) - 40
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    classes = {}
+    for i, root in want.items():
+        classes.setdefault(root, []).append(rows[i])
+    assert len(kept) == len(classes)
+    assert all(min((i for i, _ in c if i is not None), default=None) in {i for i, t in c if (i, t) in kept} for c in classes.values())
