@@ -185,3 +185,25 @@ def test_near_duplicates_stage_keeps_one_of_every_five_word_class(spark, prose):
         classes.setdefault(root, []).append(rows[i])
     assert len(kept) == len(classes)
     assert all(min((i for i, _ in c if i is not None), default=None) in {i for i, t in c if (i, t) in kept} for c in classes.values())
+
+
+def spans(spark, rows):
+    return passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+
+def words_of(pick, n, size=4000):
+    return [f"w{pick.randrange(size)}" for _ in range(n)]
+
+
+def test_fifty_words_at_least_agreement_are_found(spark):
+    pick, rows, pairs = random.Random(22), [], []
+    for least, wrong in [(50, 10), (50, 9), (50, 8), (60, 11), (80, 15)] * 12 + [(n, -6) for n in (60, 200, 1000)]:
+        passage = words_of(pick, least)
+        other, at = list(passage), range(5, least, 6) if wrong < 0 else pick.sample(range(least), wrong)
+        for i in at:
+            other[i] = f"new{pick.randrange(10**6)}"
+        assert 5 * sum(a == b for a, b in zip(passage, other)) >= 4 * least
+        pairs.append(frozenset((len(rows), len(rows) + 1)))
+        rows += [(len(rows) + i, " ".join(words_of(pick, 40) + p + words_of(pick, 40))) for i, p in enumerate((passage, other))]
+    found = {frozenset((r.doc_id, r.source_doc_id)) for r in spans(spark, rows)}
+    assert found == set(pairs)
