@@ -195,6 +195,21 @@ def words_of(pick, n, size=4000):
     return [f"w{pick.randrange(size)}" for _ in range(n)]
 
 
+def test_passages_whose_blocks_stand_alone_in_other_documents(spark):
+    """Documents of any key hold a block of a passage; two hold the whole of it."""
+    pick, rows, whole = random.Random(21), [], []
+    for _, sizes in [(i, s) for i in range(12) for s in ((30, 30), (20, 20, 20))]:
+        blocks = [words_of(pick, n) for n in sizes]
+        for block in blocks:
+            for _ in range(20):
+                rows.append((len(rows), " ".join(words_of(pick, 15) + block + words_of(pick, 15))))
+        whole.append((len(rows), len(rows) + 1))
+        for _ in range(2):
+            rows.append((len(rows), " ".join(words_of(pick, 30) + sum(blocks, []) + words_of(pick, 30))))
+    found = {frozenset((r.doc_id, r.source_doc_id)) for r in spans(spark, rows)}
+    assert found == {frozenset(p) for p in whole}
+
+
 def test_fifty_words_at_least_agreement_are_found(spark):
     pick, rows, pairs = random.Random(22), [], []
     for least, wrong in [(50, 10), (50, 9), (50, 8), (60, 11), (80, 15)] * 12 + [(n, -6) for n in (60, 200, 1000)]:
