@@ -222,3 +222,18 @@ def test_fifty_words_at_least_agreement_are_found(spark):
         rows += [(len(rows) + i, " ".join(words_of(pick, 40) + p + words_of(pick, 40))) for i, p in enumerate((passage, other))]
     found = {frozenset((r.doc_id, r.source_doc_id)) for r in spans(spark, rows)}
     assert found == set(pairs)
+
+
+@pytest.mark.parametrize("heads", [False, True])
+def test_every_copy_inside_a_document_is_found(spark, heads):
+    """One document holds a passage twice; lone pieces of it come before."""
+    pick = random.Random(23)
+    passage = words_of(pick, 70)
+    lone = passage[20:32] + words_of(pick, 60) if heads else []
+    twice = lone + passage + words_of(pick, 100) + passage + words_of(pick, 20)
+    rows = [(1, " ".join(twice)), *[(i, " ".join(words_of(pick, 30) + (lone if i % 2 else []) + passage + words_of(pick, 30))) for i in range(2, 8)]]
+    found = [(r.doc_id, r.start_word, r.end_word) for r in spans(spark, rows)] + [(r.source_doc_id, r.source_start, r.source_end) for r in spans(spark, rows)]
+    starts = [len(lone), len(lone) + 170]
+    held = {s for i, a, b in found if i == 1 for s in starts if a <= s and b >= s + 70}
+    holder = min((r.source_doc_id for r in spans(spark, rows)), default=None)
+    assert held == set(starts) or holder == 1 and held
