@@ -3,6 +3,8 @@
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units
 after numbers turn into typed placeholders, the rest is lower-cased and loses the
 punctuation at its words' edges. White space stays, so template and raw words align.
+A capitalised word that opens a sentence may be a name or not, so windows with openers count
+in both forms, with openers as words and as names, and slot consistency decides.
 Windows of five template words are joined by hash with those of the benchmark. Matches on
 one diagonal must be consistent in their slots: each value of the item stands for one value
 of the document and the other way round. A document holds an item if matches on consistent
@@ -28,7 +30,7 @@ from sparkgrade.session import cut_lineage
 WINDOW = 5
 COVERED = 0.8
 LITERALS = 2
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+NAME, NUMBER, UNIT, OPENER = "\ue000", "\ue001", "\ue002", "\ue003"
 # Units of measure that a number may carry.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ml cl l liter liters litre "
@@ -40,15 +42,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 PLACE = f"[{NAME}{NUMBER}{UNIT}]"
 # Each begins with what it replaces and looks back from there, which fails fastest.
 NAMED = r"\p{Lu}(?<=[\p{L}\p{N},]\x20\p{Lu})[\p{L}'’-]*"
+# What NAMED leaves: capitalised words that open a sentence, a line, a quotation or the text.
+OPENING = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}'’-]*"
+OPENED = rf"{OPENER}[\p{{L}}'’-]*"
 NUMBERED = r"(?:[+-]\p{N}|\p{N})(?<![\p{L}\p{N}][+-]?\p{N})\p{N}*(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
-INSIDE, BLANK = rf"[\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]", r"[\x20\x09-\x0D]"
+INSIDE, BLANK = rf"[\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{OPENER}]", r"[\x20\x09-\x0D]"
 EDGES = rf"\p{{Punct}}(?:(?<={INSIDE}\p{{Punct}})\p{{Punct}}*+(?={BLANK}|$)|(?<=(?:^|{BLANK})\p{{Punct}})\p{{Punct}}*+(?={INSIDE}))"
 
 
 def template(text: Column) -> Column:
-    """The canonical text, word for word beside the raw one."""
+    """The canonical text, word for word beside the raw one; OPENER stands before sentence openers."""
     units = "|".join(sorted((u.replace("/", r"\/") for u in UNITS), key=lambda u: (-len(u), u)))
-    named = F.regexp_replace(text, NAMED, NAME)
+    named = F.regexp_replace(F.regexp_replace(text, NAMED, NAME), OPENING, f"{OPENER}$0")
     numbered = F.lower(F.regexp_replace(named, NUMBERED, NUMBER))
     measured = F.regexp_replace(numbered, rf"{NUMBER}(\x20?)(?:{units})(?![\p{{L}}\p{{N}}])", rf"{NUMBER}$1{UNIT}")
     return F.regexp_replace(measured, EDGES, "")
@@ -59,22 +64,34 @@ def words(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, raw, made (the words), pos, code: one row per window of ``_text``."""
-    split = rows.select(*keep, words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("made"))
+    """``keep``, raw, made, named (the words, with openers as words and as names), pos, code,
+    opened: one row per window of ``_text``, and another with the openers as names if it has any."""
+    split = rows.select(*keep, words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("marked"))
+    made = split.select(
+        *keep, "raw", "marked", F.transform("marked", lambda w: F.replace(w, F.lit(OPENER), F.lit(""))).alias("made"),
+        F.transform("marked", lambda w: F.when(w.contains(OPENER), F.regexp_replace(w, OPENED, NAME)).otherwise(w)).alias("named"),
+    )
+
+    def coded(given: Column, opened: bool) -> Column:
+        def window(i: Column) -> Column:
+            return F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(given, i, F.lit(WINDOW))).alias("code"), F.lit(opened).alias("opened"))
 
-    def coded(made: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(made) - WINDOW + 1), lambda i: F.xxhash64(F.slice(made, i, F.lit(WINDOW))))
+        return F.transform(F.sequence(F.lit(1), F.size(given) - WINDOW + 1), window)
 
-    codes = F.when(F.size("made") >= WINDOW, F.transform(F.array("made"), coded)[0])
-    return split.select(*keep, "raw", "made", F.posexplode(codes).alias("pos", "code"))
+    opens = F.filter(coded(F.col("named"), True), lambda z: F.exists(F.slice("marked", z["pos"] + 1, F.lit(WINDOW)), lambda w: w.contains(OPENER)))
+    both = F.when(F.size("made") >= WINDOW, F.concat(coded(F.col("made"), False), opens))
+    return made.select(*keep, "raw", "made", "named", F.explode(both).alias("_at")).select(*keep, "raw", "made", "named", "_at.*")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, windows (their number), at (place), code, shown and meant (raw and template words)."""
+    """item_id, windows (their number), at (place), code, as_name (openers as names), shown and
+    meant (raw and template words)."""
     items = windows(benchmark.select("item_id", whole().alias("_text")), "item_id")
-    meant = F.slice("made", F.col("pos") + 1, WINDOW)
-    literal = F.size(F.filter(meant, lambda w: ~w.rlike(PLACE)))
-    found = items.select("item_id", F.col("pos").alias("at"), "code", F.slice("raw", F.col("pos") + 1, WINDOW).alias("shown"), meant.alias("meant"))
+    meant = F.slice(F.when(F.col("opened"), F.col("named")).otherwise(F.col("made")), F.col("pos") + 1, WINDOW)
+    literal = F.size(F.filter("meant", lambda w: ~w.rlike(PLACE)))
+    found = items.select(
+        "item_id", F.col("pos").alias("at"), "code", F.col("opened").alias("as_name"), F.slice("raw", F.col("pos") + 1, WINDOW).alias("shown"), meant.alias("meant"),
+    )
     kept = found.where(literal >= LITERALS)
     totals = kept.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
     return kept.join(totals, "item_id")
@@ -96,13 +113,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Few files, so that the written size, by which Spark decides on a broadcast, is the data's.
     items = cut_lineage(benchmark_windows(benchmark).coalesce(4), "benchmark-windows")
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), whole().alias("_text"))
-    found = windows(rows, "doc_id", "_key").join(items, "code").select(
-        "doc_id", "_key", "item_id", "windows", "at", "pos",
+    found = windows(rows, "doc_id", "_key").drop("made", "named").join(items, "code").select(
+        "doc_id", "_key", "item_id", "windows", "at", "pos", (F.col("opened") | F.col("as_name")).alias("opened"),
         slots(F.col("meant"), F.col("shown"), F.slice("raw", F.col("pos") + 1, WINDOW)).alias("slots"),
     )
+
+    def variant(words_only: bool) -> Column:
+        at, pairs, first = (F.when(~F.col("opened"), c) if words_only else c for c in (F.col("at"), F.col("slots"), F.col("pos")))
+        return F.struct(F.collect_set(at).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"), F.min(first).alias("first"))
+
+    # With openers as words only, and with all; the one may be consistent where the other is not.
     diagonals = found.groupBy("doc_id", "_key", "item_id", "windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.min("pos").alias("first"),
-    )
+        F.array(variant(True), variant(False)).alias("variants"),
+    ).select("doc_id", "_key", "item_id", "windows", F.explode("variants").alias("_v")).select("doc_id", "_key", "item_id", "windows", "_v.*").where(F.size("at") > 0)
     pairs = F.size("slots")
     mapped = F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["m"], z["s"]))))
     back = F.size(F.array_distinct(F.transform("slots", lambda z: F.struct(z["m"], z["r"]))))

@@ -90,6 +90,19 @@ def test_templates(spark, odd_rows):
     assert templates.decontaminate(odd_rows, items).columns == odd_rows.columns
 
 
+def test_items_with_renamed_openers_and_short_items(spark):
+    tom = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"
+    short = ["What is the capital of France?", "Who wrote the first novel?", "When did the long war of the north end?"]
+    items = spark.createDataFrame([(0, tom), *enumerate(short, 1)], "item_id long, text string")
+    anna = tom.replace("Tom", "Anna").replace("3", "8").replace("4", "9")
+    docs = [
+        (0, anna), (1, "please answer " + short[0]), (2, "Then: " + short[1]), (3, "please answer " + short[2] + " Thanks"),
+        (4, anna.replace("Anna buys", "Carl buys").replace("does Anna", "does Dora")), (5, "so, " + anna[0].lower() + anna[1:]), (6, '"' + anna + '"'),
+    ]
+    found = {(r.doc_id, r.item_id) for r in templates.report(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (6, 0)} <= found and not any(i == 4 for i, _ in found)
+
+
 def test_benchmark_passages_are_found(spark):
     """Brute force: documents that hold all words of an item in a row."""
     folder = "/root/testdata/sf0.01"
