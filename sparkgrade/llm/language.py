@@ -42,7 +42,7 @@ class LanguageModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        edged = f"<{word[:64]}>"
+        edged = f"<{word}>"
         for n in range(4, 0, -1):
             found = [g for i in range(len(edged) - n + 1) if (g := self.grams.get(edged[i:i + n])) is not None]
             if found:
@@ -97,11 +97,11 @@ def train(docs: DataFrame, most_rows: int = 20_000, most_words: int = 20_000, mo
     word = F.explode(F.regexp_extract_all(F.lower(whole()), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
     words = rows.select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("n"))
     kept = commonest(words, "word", most_words, "lang").collect()
-    edged = F.concat(F.lit("<"), F.substring("word", 1, 64), F.lit(">"))
+    edged = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
 
     def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(edged) - n + 1)
-        return F.when(F.length(edged) >= n, F.transform(starts, lambda i: F.substring(edged, i, F.lit(n))))
+        # Every place in one pass: substrings by place would cost the square of a long word.
+        return F.regexp_extract_all(edged, F.lit(f"(?=(.{{{n}}}))"), F.lit(1))
 
     grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[F.coalesce(of_length(n), F.array()) for n in range(1, 5)]))).alias("gram"))
     sums = grams.where(~F.col("gram").isin("<", ">")).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("size", F.length("gram"))

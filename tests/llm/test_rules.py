@@ -187,6 +187,13 @@ def test_known_words_come_first_then_shorter_grams(spark):
     assert (model.backoff("ж") == 0).all()
 
 
+def test_unseen_words_count_to_their_end(spark):
+    model = language.LanguageModel(["a", "b"], {}, {"x": language.np.array([-1.0, -2.0]), "y": language.np.array([-2.0, -1.0])})
+    assert model.predict("x" * 64 + "y" * 200)[0] == "b" and model.predict("x" * 64 + "y" * 20)[0] == "a"
+    docs = spark.createDataFrame([(1, "x" * 70 + "qrst", "a"), (2, "y" * 70, "b")], "doc_id long, text string, lang string")
+    assert {"qrst", "rst>", "<xxx", "<", ">"} - {"<", ">"} <= set(language.train(docs).grams)
+
+
 def test_pipeline_against_its_parts(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
