@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgrade import schemas
 from sparkgrade.catalog.registry import items, query, table, text
 from sparkgrade.catalog.upkeep import USAGE_SQL, call_log
 from sparkgrade.operators import build, confirm, scoring, usage_totals
@@ -399,6 +400,73 @@ def replaced_split(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("id STRING, chapter STRING, split STRING").parquet(path).select("split", "id", "chapter")
 
 
+@query("""
+    WITH reviewed AS (
+      SELECT lang AS split, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS twice
+      FROM documents WHERE lang <> 'es' GROUP BY lang)
+    SELECT split, CASE WHEN split = 'fr' AND twice > 0 THEN 'failed' ELSE 'applied' END AS status,
+           CASE WHEN split = 'fr' AND twice > 0 THEN twice || ' repeated ids' END AS reason,
+           n + CASE WHEN split = 'fr' THEN twice ELSE 0 END AS rows FROM reviewed
+    UNION ALL SELECT DISTINCT lang, 'skipped', 'no reviewed rows', 0 FROM documents WHERE lang = 'es'
+    UNION ALL SELECT 'new', 'skipped', 'no stored rows', count(*) FROM labels
+""")
+def replacement_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Splits put in place of stored ones: one has repeated ids, one no review, one no base."""
+    path, backup = new_table_path(spark, "dataset"), new_table_path(spark, "backup")
+    rows = items(spark, folder).select("id", "chapter", "split")
+    writers.write_partitions(rows, path, ["split"])
+    toxic = table(spark, folder, "labels").filter("toxic = 1").select(text("doc_id").alias("id"))
+    again = rows.filter("split = 'fr'").join(toxic, "id", "left_semi")
+    new = table(spark, folder, "labels").select(text("doc_id").alias("id"), F.lit("c").alias("chapter"), F.lit("new").alias("split"))
+    reviewed = rows.filter("split <> 'es'").unionByName(again).unionByName(new)
+    wanted = reviewed.select("split").unionByName(rows.select("split"))
+    report = writers.replace_split(spark, path, reviewed, backup, "20260101T000000Z", wanted=wanted)
+    return report.select("split", "status", "reason", "rows")
+
+
+@query("""
+    SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS operation, count(*) AS calls FROM events
+    WHERE strftime(ts, '%Y-%m-%d') IN (SELECT strftime(min(ts), '%Y-%m-%d') FROM events GROUP BY event_type)
+    GROUP BY ALL
+""")
+def archived_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls of the days on which some operation began, out of a log kept by day."""
+    events = table(spark, folder, "events")
+    path = new_table_path(spark, "calls")
+    calls = schemas.complete(
+        events.select(F.col("ts").cast("timestamp").alias("timestamp_utc"), F.col("event_type").alias("operation"), text("user_id").alias("run_id")),
+        schemas.CALL_LOG,
+    )
+    day = F.to_date("timestamp_utc")
+    writers.archive_calls(calls.withColumns({"date": day, "day": day}), path)
+    first = events.groupBy("event_type").agg(F.min("ts").cast("date").alias("day"))
+    archived = readers.read_archived_calls(spark, path, first)
+    return archived.groupBy(text("day").alias("day"), "operation").agg(F.count("*").alias("calls"))
+
+
+@query("""
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN source = 'src3' THEN 'error' ELSE 'success' END AS status,
+           CASE WHEN source <> 'src3' THEN 'Reply to ' || source || ' in ' || lang END AS response,
+           CASE WHEN source = 'src3' THEN 'ValueError: no' END AS error
+    FROM documents
+""")
+def ledger_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies by request, each distinct request called once and kept in a ledger for the next run."""
+    def scorer() -> Callable[[str], str]:
+        def call(request: str) -> str:
+            if request.startswith("src3 "):
+                raise ValueError("no")
+            return f"Reply to {request}"
+
+        return call
+
+    ledger = new_table_path(spark, "ledger")
+    asked = items(spark, folder).select("id", F.concat_ws(" in ", "chapter", "split").alias("request"))
+    scoring.score_once(asked.filter("id LIKE '%7'"), "request", scorer, ledger, buckets=16)
+    scored = scoring.score_once(asked, "request", scorer, ledger, buckets=16)
+    return scored.select("id", "scored.status", "scored.response", "scored.error")
+
+
 @query("""
     SELECT DISTINCT lang AS split FROM documents WHERE lang NOT IN (SELECT lang FROM documents WHERE n_chars > 20000)
 """)

@@ -12,7 +12,7 @@ from sparkgrade.functions import symbols as sy
 from sparkgrade.functions import text as tx
 from sparkgrade.functions import usage
 from sparkgrade.operators import generation, grading, keys
-from sparkgrade.sources.readers import with_label_parts
+from sparkgrade.sources.readers import family_evaluations, with_label_parts
 
 _FLAT = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"
 
@@ -266,6 +266,22 @@ def label_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+    WITH evals AS (SELECT p_partkey, p_name, p_size FROM part),
+    counted AS (SELECT DISTINCT p_name FROM part WHERE p_name NOT LIKE '%gear')
+    SELECT p_partkey, CASE WHEN p_name LIKE '%bolt' THEN 'bolts' ELSE 'reds' END AS family,
+           CASE WHEN p_name LIKE '%bolt' THEN 'high' ELSE split_part(p_name, ' ', 2) END AS variant
+    FROM evals JOIN counted USING (p_name) WHERE p_name LIKE '%bolt' OR p_name LIKE 'red %'
+""")
+def family_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluations of known families only, without models whose summary counts nothing."""
+    families = [{"tag": "bolts", "patterns": [" bolt$"]}, {"tag": "reds", "patterns": ["^red "], "prefix": "red "}]
+    model = F.concat("p_name", F.lit("__effort-high__max-tokens-9"))
+    rows = table(spark, folder, "part").withColumn("model", model)
+    summaries = rows.groupBy("model").agg(F.count_if(~F.col("p_name").like("%gear")).alias("total"))
+    return family_evaluations(rows, summaries, families).select("p_partkey", "family", "variant")
+
+
 @query("""
     SELECT doc_id, 'chapter_' || regexp_replace(source, '[^A-Za-z0-9]+', '_', 'g') || '_7' AS split, source || '_7' AS chapter,
            lang || '/' || source AS base, lang AS big, 'c.' || doc_id AS sub, source || '__' || lang AS tagged,

@@ -94,16 +94,22 @@ def global_rank(df: DataFrame, order: Sequence[Column | str], rank: str = "rank"
 # Hex digits of the sampling hash that form a bucket: 16^5 buckets at most, so the
 # bucket histogram stays small while each bucket holds about a millionth of the rows.
 BUCKET_DIGITS = 5
+# Rows of a sample that one task may hold.
+MOST_TOP = 10_000
 
 
 def sample_rows(df: DataFrame, n: int | Column, seed: int, ids: Sequence[Column | str]) -> DataFrame:
     """Exactly ``n`` rows (all, when fewer), chosen by a seeded hash of their ids.
 
-    The choice does not depend on partitioning. A histogram of hash buckets finds the
+    The choice does not depend on partitioning. Up to ``MOST_TOP`` rows are a bottom-k
+    sketch: each task keeps its ``n`` smallest hashes, and those are merged, in one scan. For
+    more, or a number known only while the query runs, a histogram of hash buckets finds the
     bucket where the ``n``-th smallest hash falls; whole buckets before it are taken
     and only that bucket is ordered.
     """
     key = F.md5(F.concat_ws(":", *[c.cast("string") for c in as_columns(ids)], F.lit(str(seed))))
+    if isinstance(n, int) and n <= MOST_TOP:
+        return df.withColumn("_key", key).orderBy("_key", *as_columns(ids)).limit(n).drop("_key")
     hashed = df.withColumn("_key", key).withColumn("_bucket", F.left("_key", F.lit(BUCKET_DIGITS)))
     wanted = n if isinstance(n, Column) else F.lit(n)
     histogram = hashed.groupBy("_bucket").agg(F.count("*").alias("_rows"))

@@ -64,19 +64,23 @@ def generate(
     tasks: int | None = None,
     threads: int = 8,
     max_attempts: int = 1,
+    ledger: str | None = None,
 ) -> Generation:
     """Answer the items that have no answer yet, or exactly the named ones.
 
     ``rows`` are new answers, ``failures`` the dead letters, ``calls`` one row per
-    attempt. Invalidate evaluations of the answered ids with ``merge.drop_evaluations``.
+    attempt. Invalidate evaluations of the answered ids with ``merge.drop_evaluations``. With a
+    ``ledger`` folder, replies outlive failed tasks and runs (:func:`scoring.score_once`).
     """
     wanted = keep_ids(dataset, ids)
     if ids is None and done is not None:
         wanted = merge.pending_rows(wanted, done)
-    asked = scoring.spread(requests(wanted, entries), tasks)
-    scored = cut_lineage(
-        asked.withColumn("scored", scoring.score("request", solver, max_attempts, threads)), "answers"
-    )
+    asked = requests(wanted, entries)
+    if ledger is not None:
+        scored = scoring.score_once(asked, "request", solver, ledger, max_attempts, threads)
+    else:
+        scored = scoring.spread(asked, tasks).withColumn("scored", scoring.score("request", solver, max_attempts, threads))
+    scored = cut_lineage(scored, "answers")
     answered = scoring.succeeded(scored).withColumn("model_response", F.col("scored.response"))
     if converter is not None:
         first = generation.process_responses(answered)

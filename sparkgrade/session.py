@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +19,28 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
-        return folder.rstrip("/")
+        return qualified(spark, folder.rstrip("/"))
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="sparkgrade-")
     spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark would use for it, so that readers
+    other than Spark open the same place."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def file_system(folder: str) -> tuple[Any, str]:
+    """The file system of a qualified folder, for use inside tasks, and the path in it."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from sparkgrade import schemas
 from sparkgrade.functions import labels as lb
 from sparkgrade.functions import text as tx
-from sparkgrade.operators.keys import duplicate_keys, last_per_key, lookup, only_in, require_unique
+from sparkgrade.operators.keys import duplicate_keys, last_per_key, only_in, require_unique
 from sparkgrade.operators.overlay import review_entries
+from sparkgrade.session import cut_lineage
 
 
 def position() -> Column:
@@ -129,16 +130,26 @@ def read_reviews(spark: SparkSession, root: str) -> DataFrame:
     return review_entries(docs.withColumn("split", F.col("stem")))
 
 
-def read_call_log(spark: SparkSession, root: str) -> DataFrame:
-    """Call log of all days and runs, in date, file and line order by ``_pos``."""
-    rows = (
-        spark.read.schema(schemas.struct(schemas.CALL_LOG))
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
-        .option("mode", "FAILFAST")
-        .json(root)
-    )
-    return rows.withColumns({"_pos": position(), "date": F.to_date("timestamp_utc")})
+def read_call_log(spark: SparkSession, root: str, days: Sequence[str] = (), runs: Sequence[str] = ()) -> DataFrame:
+    """Call log ``<day>/<run>.jsonl`` in date, file and line order by ``_pos``, with ``day`` from
+    the folder. Named days and runs are all that is listed and opened; days or runs without
+    a log have no rows."""
+    def among(names: Sequence[str]) -> str:
+        return "{" + ",".join(names) + "}" if names else "*"
+
+    def read() -> DataFrame:
+        rows = spark.read.schema(schemas.struct(schemas.CALL_LOG)).option("mode", "FAILFAST").json(f"{root}/{among(days)}/{among(runs)}.jsonl")
+        day = F.to_date(F.element_at(F.split("_metadata.file_path", "/"), -2))
+        return rows.withColumns({"_pos": position(), "date": F.to_date("timestamp_utc"), "day": day})
+
+    return _or_empty(spark, read, f"{schemas.CALL_LOG}, {POSITION}, date date, day date")
+
+
+def read_archived_calls(spark: SparkSession, path: str, days: DataFrame | None = None) -> DataFrame:
+    """Calls of the table that ``writers.archive_calls`` keeps; ``days`` (day) prunes its
+    partitions while the query runs."""
+    calls = spark.read.schema(schemas.struct(f"{schemas.CALL_LOG}, date DATE, day DATE")).parquet(path)
+    return calls if days is None else calls.join(days.select("day").distinct(), "day", "left_semi")
 
 
 def latest_by_id(rows: DataFrame, key: str = "id", pos: str = "_pos", other: str = "question_id") -> DataFrame:
@@ -172,17 +183,31 @@ def resolve_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("source", found).drop(*candidates, *[f"{n}_source" for n in candidates])
 
 
+# An owner with more than one row in so many is decided where its rows lie. There are fewer
+# such owners than this, whatever the size of the layers.
+HEAVY_OWNERS = 1000
+
+
 def layered(layers: Sequence[DataFrame], owner: Sequence[str] = ("model", "split")) -> DataFrame:
     """Rows of the first layer that has anything for a (model, split).
 
-    Which layer wins is one small map from owner to layer, a scalar beside the rows, so
-    rows are never shuffled by their owner.
+    The winning layers are one aggregate, written once. Rows of an owner that holds more than
+    a thousandth of all rows meet their winner in a broadcast of those few owners and are never
+    shuffled; rows of all other owners meet theirs in a shuffle join without a heavy key.
     """
     tagged = [df.withColumn("_layer", F.lit(i)) for i, df in enumerate(layers)]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    name = F.to_json(F.struct(*[F.col(o).cast("string") for o in owner]), {"ignoreNullFields": "false"})
-    winner = rows.groupBy(name.alias("owner")).agg(F.min("_layer").alias("layer"))
-    return rows.where(F.col("_layer") == lookup(winner, "owner", "layer")[name]).drop("_layer")
+    winners = rows.groupBy(*[F.col(o).alias(f"_{o}") for o in owner]).agg(
+        F.min("_layer").alias("_first"), F.count("*").alias("_rows"))
+    winners = cut_lineage(winners, "layer-winners")
+    heavy_from = winners.agg(F.sum("_rows") / HEAVY_OWNERS).scalar()
+    heavy = F.broadcast(winners.where(F.col("_rows") > heavy_from))
+    light = winners.where(F.col("_rows") <= heavy_from)
+    same_owner = reduce(lambda a, b: a & b, [F.col(o).eqNullSafe(F.col(f"_{o}")) for o in owner])
+    first = same_owner & (F.col("_layer") == F.col("_first"))
+    lying = rows.join(heavy, first, "left_semi")
+    moved = rows.join(heavy, same_owner, "left_anti").join(light, first, "left_semi")
+    return lying.unionByName(moved).drop("_layer")
 
 
 def scored_models(evals: DataFrame, summaries: DataFrame, requested: Sequence[str] = ()) -> DataFrame:
@@ -231,3 +256,13 @@ def with_label_parts(evals: DataFrame, families: Sequence[dict]) -> DataFrame:
             cut = F.replace(base, F.lit(rule["prefix"]), F.lit(""))
             variant = F.when(F.col("family") == rule["tag"], cut).otherwise(variant)
     return rows.withColumn("variant", variant)
+
+
+def family_evaluations(evals: DataFrame, summaries: DataFrame, families: Sequence[dict]) -> DataFrame:
+    """Evaluations of all models of the known families, with their label parts.
+
+    Models without a summary (model, total), or with one that counts nothing, are left out, as
+    are models of no known family; neither then narrows what ids the models have in common.
+    """
+    counted = only_in(evals, summaries.filter("total > 0"), "model")
+    return with_label_parts(counted, families).filter(F.col("family").isin([rule["tag"] for rule in families]))

@@ -55,27 +55,62 @@ def update_partitions(new: DataFrame, path: str, by: Sequence[str], format: str
     write_partitions(cut_lineage(new, "update"), path, by, format)
 
 
+def archive_calls(calls: DataFrame, path: str) -> None:
+    """Keep call-log rows in a table partitioned by ``day``; each given day is replaced whole.
+
+    Rows of a day are sorted by run, so that a query for one run skips most row groups.
+    """
+    rows = calls.drop("_pos").hint("rebalance", "day").sortWithinPartitions("day", "run_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def split_faults(staged: DataFrame, by: str = "split", key: str = "id") -> DataFrame:
+    """Per split of ``staged``: its rows, and what is wrong with its keys (NULL: nothing)."""
+    counts = staged.groupBy(by, key).agg(F.count("*").alias("n"))
+    blank = F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""
+    sums = counts.groupBy(by).agg(
+        F.sum("n").alias("rows"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("blank"),
+        F.count_if(~blank & (F.col("n") > 1)).alias("repeated"),
+    )
+    fault = F.when(F.col("blank") > 0, F.concat(F.col("blank"), F.lit(" blank ids"))).when(
+        F.col("repeated") > 0, F.concat(F.col("repeated"), F.lit(" repeated ids")))
+    return sums.select(by, "rows", fault.alias("fault"))
+
+
 def replace_split(
-    spark: SparkSession, table: str, reviewed: DataFrame, backup: str, stamp: str, by: str = "split"
+    spark: SparkSession, table: str, reviewed: DataFrame, backup: str, stamp: str, by: str = "split",
+    key: str = "id", wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Put reviewed splits in place of the stored ones, keeping a stamped backup.
 
-    Returns a report: each split ``applied``, or ``skipped`` where the table lacks it.
+    Write, audit, publish: the reviewed rows are staged, the staged copy is checked, and all
+    splits that pass are published by one dynamic overwrite, their old rows backed up first. A
+    split whose staged copy lacks rows, or has blank or repeated keys, stays as it is.
+
+    Returns a report of the ``wanted`` splits (default: the reviewed ones): ``status`` applied,
+    skipped or failed, the reason, and the staged rows. Without the column ``key`` only
+    the rows are checked.
     """
     current = spark.read.parquet(table)
-    reviewed = cut_lineage(reviewed, "reviewed")
-    wanted = reviewed.select(by).distinct()
-    stored = current.select(by).distinct().withColumn("_stored", F.lit(True))
-    report = cut_lineage(
-        wanted.join(stored, by, "left").select(
-            by, F.when(F.col("_stored"), "applied").otherwise("skipped").alias("status")
-        ),
-        "report",
+    staged = cut_lineage(reviewed, "staged")
+    given = reviewed.groupBy(by).agg(F.count("*").alias("given"))
+    audit = split_faults(staged, by, key) if key in staged.columns else staged.groupBy(by).agg(
+        F.count("*").alias("rows"), F.lit(None).cast("string").alias("fault"))
+    stored = current.select(by).distinct().withColumn("stored", F.lit(True))
+    asked = (wanted if wanted is not None else staged).select(by).distinct()
+    known = asked.join(given, by, "left").join(audit, by, "left").join(stored, by, "left")
+    lacking = F.coalesce("rows", F.lit(0)) != F.col("given")
+    reason = (
+        F.when(F.col("given").isNull(), "no reviewed rows").when(F.col("stored").isNull(), "no stored rows")
+        .when(lacking, "staged rows differ").otherwise(F.col("fault"))
     )
+    status = F.when(reason.isNull(), "applied").when(F.col("given").isNull() | F.col("stored").isNull(), "skipped").otherwise("failed")
+    report = cut_lineage(known.select(by, status.alias("status"), reason.alias("reason"), F.coalesce("rows", F.lit(0)).alias("rows")), "report")
     applied = report.filter("status = 'applied'").select(by)
     old = current.join(applied, by, "left_semi").withColumn("backup", F.lit(stamp))
     append_rows(old, backup, ["backup", by])
-    update_partitions(reviewed.join(applied, by, "left_semi").select(*current.columns), table, [by])
+    # The staged copy is a table of its own, so no task reads files that its job replaces.
+    write_partitions(staged.join(applied, by, "left_semi").select(*current.columns), table, [by])
     return report
 
 

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkgrade.operators.keys import last_per_key
+
+def fresh_rows(source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Of a stream, the rows whose key no earlier batch had, one a key.
+
+    What was seen is keyed state in the checkpoint. Without ``order`` it is the keys alone and
+    any row of a batch stands for its key. With ``order`` the last row of the batch does; the
+    state then holds that row and the time of the batch that brought the key, which is the
+    time of the present batch for new keys only.
+    """
+    if not order:
+        return source.dropDuplicates(list(keys))
+    # The current time is one value a batch, and the same when the batch is replayed.
+    rows = source.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*order).alias("_order"), F.struct(*source.columns).alias("_row"),
+        F.current_timestamp().alias("_now"),
+    )
+    seen = rows.groupBy(*[f"_{k}" for k in keys]).agg(F.max_by("_row", "_order").alias("_row"), F.min("_now").alias("_since"))
+    return seen.where(F.col("_since") == F.current_timestamp()).select("_row.*")
 
 
 def process_new_rows(
@@ -23,20 +39,14 @@ def process_new_rows(
 ) -> StreamingQuery:
     """Apply ``process`` to arriving rows whose key has no result yet and store the result.
 
-    Each batch fills its own partition, so a batch replayed after a failure replaces its
-    rows instead of adding them twice; earlier partitions tell what is done. Of rows
-    that repeat inside a batch the last by ``order`` counts.
+    The stream's own state tells what is done, so a batch reads its new rows and nothing that
+    was stored. Each batch fills its own partition; one that is replayed after a failure
+    chooses the same rows and replaces its partition. Of rows that repeat inside a batch the
+    last by ``order`` counts. A new checkpoint forgets what was done.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = last_per_key(batch, list(keys), list(order)) if order else batch.dropDuplicates(list(keys))
-        try:
-            done = spark.read.parquet(path).filter(F.col("batch") < batch_id).select(*keys)
-            fresh = fresh.join(done, list(keys), "left_anti")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-        process(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    writer = source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+        process(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    fresh = fresh_rows(source, keys, order)
+    writer = fresh.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()

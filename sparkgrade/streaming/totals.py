@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkgrade.operators.usage_totals import MEASURES, usage_parts
+from sparkgrade.session import cut_lineage
+from sparkgrade.sources.writers import write_partitions
+
+BUCKETS = 16
 
 
 def stream_totals(calls: DataFrame, owner: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -20,29 +26,50 @@ def stream_totals(calls: DataFrame, owner: Sequence[str] = ("run_id",)) -> DataF
     return usage_parts(calls, owner)
 
 
+def store_totals(changed: DataFrame, path: str, owner: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Put changed totals in place of the stored ones.
+
+    The table is partitioned by a hash of the owner. Only the buckets that ``changed`` touches
+    are read and overwritten; storing the same totals again changes nothing.
+    """
+    spark = changed.sparkSession
+    bucket = F.pmod(F.xxhash64(*owner), F.lit(buckets)).cast("int").alias("bucket")
+    changed = cut_lineage(changed.select("*", bucket), "changed-totals")
+    touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # no more than there are buckets
+    if not touched:
+        return
+    names = [c for c in changed.columns if c not in (*MEASURES, "bucket")]
+    rows = changed
+    try:
+        stored = spark.read.schema(changed.schema).parquet(path).where(F.col("bucket").isin(touched))
+        new = changed.select(*[F.col(n).alias(f"_{n}") for n in names])
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+        rows = changed.unionByName(stored.join(new, same, "left_anti"))
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # A dynamic overwrite replaces partitions when its job commits, after all reads.
+    write_partitions(rows, path, ["bucket"])
+
+
 def write_totals(
-    calls: DataFrame, path: str, checkpoint: str, owner: Sequence[str] = ("run_id",), once: bool = True
+    calls: DataFrame, path: str, checkpoint: str, owner: Sequence[str] = ("run_id",), once: bool = True, buckets: int = BUCKETS
 ) -> StreamingQuery:
-    """Keep the current totals in a table: each batch writes the totals that it changed.
+    """Keep the current totals in a table, whose size is that of the totals however many
+    batches ran. ``buckets`` must stay the same for one table.
 
-    A batch that is replayed after a failure rewrites its own version, so readers never see
-    a half-counted batch. What a batch writes grows with the batch, not with the totals.
-    ``once`` takes what is there and stops.
+    A batch that is replayed after a failure stores the same totals again. ``once`` takes what
+    is there and stops.
     """
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
     writer = (
         stream_totals(calls, owner)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(save)
+        .foreachBatch(lambda batch, _: store_totals(batch, path, owner, buckets))
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest_totals(spark, path: str) -> DataFrame:
-    """The newest totals of each combination, over all versions."""
-    versions = spark.read.parquet(path)
-    names = [c for c in versions.columns if c not in (*MEASURES, "version")]
-    return versions.groupBy(*names).agg(*[F.max_by(m, "version").alias(m) for m in MEASURES])
+def latest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The stored totals, one row per combination."""
+    return spark.read.parquet(path).drop("bucket")
