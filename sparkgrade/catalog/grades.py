@@ -197,6 +197,24 @@ def exact_identity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", (verdict == identity.EQUAL).alias("same"))
 
 
+@query("""
+    SELECT p_partkey, p_partkey % 6 = 5 AS same FROM part
+""")
+def nearly_equal(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions whose difference is tiny against their values are told apart."""
+    n, case = (F.col("p_partkey") + 1).cast("string"), F.col("p_partkey") % 6
+    pairs = [
+        ("sqrt(10**20*{n}**2) + 1", "10**10*{n}"), ("sqrt(x)*10**12*{n} + 1", "sqrt(x)*10**12*{n}"), ("sin({n}*x) + 10**(-12)", "sin({n}*x)"),
+        ("exp({n}*x) + 10**(-15)*exp({n}*x)", "exp({n}*x)"), ("sqrt(2)*{n}", "1.41421356237*{n}"), ("sin(2*{n}*x)", "2*sin({n}*x)*cos({n}*x)"),
+    ]
+
+    def written(side: int) -> Column:
+        return F.replace(F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), (case + 1).cast("int")), F.lit("{n}"), n)
+
+    verdict = identity.expression_verdict(written(0), written(1))
+    return table(spark, folder, "part").select("p_partkey", (verdict == identity.EQUAL).alias("same"))
+
+
 def _relations(column: str) -> tuple[Column, Column]:
     """Pairs of relations, written differently, from a number and a kind."""
     n, kind = text("l_linenumber"), F.col(column)
