@@ -10,9 +10,10 @@ one diagonal must be consistent in their slots: each value of the item stands fo
 of the document and the other way round. A document holds an item if matches on consistent
 diagonals cover at least 0.8 of the item's windows; it may do so with other parameters.
 
-Documents pass once through a scan, a generator and a hash join; whether the benchmark's
-windows are broadcast is Spark's choice by their written size. What is shuffled are matches
-only, by (document, item, diagonal), so that a passage that many documents hold is spread.
+Documents pass once through a scan, a generator and a bitmap of the benchmark's codes; only
+windows that may match go on to the hash join, with five raw words each. Whether the benchmark's
+windows are broadcast is Spark's choice by their written size. What is shuffled besides are
+matches, by (document, item, diagonal), so that a passage that many documents hold is spread.
 
 Defined cases: NULL and empty texts hold nothing; items of fewer than five words, or whose
 windows are placeholders only, are never found; equal rows are found equally; NULL ids are
@@ -21,6 +22,8 @@ kept; other columns travel in ``doc`` and cannot clash; an empty benchmark finds
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from sparkgrade.session import cut_lineage
 WINDOW = 5
 COVERED = 0.8
 LITERALS = 2
+# Bits of the bitmap through which windows of documents go before they are joined.
+CODES = 1 << 18
 NAME, NUMBER, UNIT, OPENER = "\ue000", "\ue001", "\ue002", "\ue003"
 # Units of measure that a number may carry.
 UNITS = (
@@ -63,23 +68,34 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def windows(rows: DataFrame, *keep: str) -> DataFrame:
+def windows(rows: DataFrame, *keep: str, bits: Column | None = None) -> DataFrame:
     """``keep``, raw, made, named (the words, with openers as words and as names), pos, code,
-    opened: one row per window of ``_text``, and another with the openers as names if it has any."""
+    opened: one row per window of ``_text``, and another with the openers as names if it has any;
+    with ``bits`` only those whose code the bitmap may hold. Rows carry all words of their text, so
+    the windows are thinned inside the array, before they become rows."""
     split = rows.select(*keep, words(F.col("_text")).alias("raw"), words(template(F.col("_text"))).alias("marked"))
+    as_word = lambda w: F.replace(w, F.lit(OPENER), F.lit(""))
+    as_name = lambda w: F.when(w.contains(OPENER), F.regexp_replace(w, OPENED, NAME)).otherwise(w)
     made = split.select(
-        *keep, "raw", "marked", F.transform("marked", lambda w: F.replace(w, F.lit(OPENER), F.lit(""))).alias("made"),
-        F.transform("marked", lambda w: F.when(w.contains(OPENER), F.regexp_replace(w, OPENED, NAME)).otherwise(w)).alias("named"),
+        *keep, "raw", F.transform("marked", as_word).alias("made"), F.transform("marked", as_name).alias("named"),
+        # Each word is hashed once, a window's code is that of its five hashes.
+        F.transform("marked", lambda w: F.xxhash64(as_word(w))).alias("word_codes"),
+        F.filter(F.transform("marked", lambda w, i: F.when(w.contains(OPENER), i + 1)), lambda i: i.isNotNull()).alias("opens"),
+        F.transform("marked", lambda w: F.xxhash64(as_name(w))).alias("name_codes"),
     )
+    last = F.size("word_codes") - WINDOW + 1
 
-    def coded(given: Column, opened: bool) -> Column:
+    def coded(given: str, starts: Column, opened: bool) -> Column:
         def window(i: Column) -> Column:
             return F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(given, i, F.lit(WINDOW))).alias("code"), F.lit(opened).alias("opened"))
 
-        return F.transform(F.sequence(F.lit(1), F.size(given) - WINDOW + 1), window)
+        return F.transform(starts, window)
 
-    opens = F.filter(coded(F.col("named"), True), lambda z: F.exists(F.slice("marked", z["pos"] + 1, F.lit(WINDOW)), lambda w: w.contains(OPENER)))
-    both = F.when(F.size("made") >= WINDOW, F.concat(coded(F.col("made"), False), opens))
+    # The windows around an opener, from the openers' places: few words are openers.
+    around = F.flatten(F.transform("opens", lambda i: F.filter(F.sequence(i - WINDOW + 1, i), lambda j: (j > 0) & (j <= last))))
+    both = F.when(last > 0, F.concat(coded("word_codes", F.sequence(F.lit(1), last), False), coded("name_codes", F.array_distinct(around), True)))
+    if bits is not None:
+        both = F.filter(both, lambda z: maybe_held(z["code"], bits))
     return made.select(*keep, "raw", "made", "named", F.explode(both).alias("_at")).select(*keep, "raw", "made", "named", "_at.*")
 
 
@@ -97,6 +113,21 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return kept.join(totals, "item_id")
 
 
+def code_bits(items: DataFrame) -> Column:
+    """A bitmap of the windows' codes, 32 KB whatever their number, as a constant array."""
+    word, bit = (F.col("code").bitwiseAND(F.lit(CODES - 1)) / 64).cast("int"), F.expr("shiftleft(1L, cast(code & 63 AS int))")
+    held = items.select(word.alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    whole_ = items.sparkSession.range(CODES // 64).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "bits")))
+    bits = whole_.agg(F.transform(ordered, lambda z: z["bits"])).first()[0]
+    return F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+
+def maybe_held(code: Column, bits: Column) -> Column:
+    at = code.bitwiseAND(F.lit(CODES - 1))
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def bare(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", ""))
 
@@ -113,9 +144,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # Few files, so that the written size, by which Spark decides on a broadcast, is the data's.
     items = cut_lineage(benchmark_windows(benchmark).coalesce(4), "benchmark-windows")
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("_key"), whole().alias("_text"))
-    found = windows(rows, "doc_id", "_key").drop("made", "named").join(items, "code").select(
+    # Only windows that may match leave the rows' own task, with their five raw words.
+    hits = windows(rows, "doc_id", "_key", bits=code_bits(items)).select(
+        "doc_id", "_key", "pos", "code", "opened", F.slice("raw", F.col("pos") + 1, WINDOW).alias("raw"))
+    found = hits.join(items, "code").select(
         "doc_id", "_key", "item_id", "windows", "at", "pos", (F.col("opened") | F.col("as_name")).alias("opened"),
-        slots(F.col("meant"), F.col("shown"), F.slice("raw", F.col("pos") + 1, WINDOW)).alias("slots"),
+        slots(F.col("meant"), F.col("shown"), F.col("raw")).alias("slots"),
     )
 
     def variant(words_only: bool) -> Column:
