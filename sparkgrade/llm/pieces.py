@@ -7,7 +7,7 @@ unique last token, and the ids are recovered backwards. Symbols without a piece
 their UTF-8 byte pieces. Decoding is the library's ``decode(ids)``.
 
 Defined cases: a NULL or empty text has no ids and decodes to the empty text; texts of any
-length are encoded whole; every input row gives one row; other input columns are ignored.
+length are encoded whole, about a megabyte of text at a time; every input row gives one row; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +16,18 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sparkgrade.llm.bpe import Automaton
-from sparkgrade.llm.common import only, per_process
+from sparkgrade.llm.common import by_size, only, per_process
 
 BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
-CACHED_SEGMENTS = 500_000
-TOGETHER = 1000
+# Bounds of what a worker remembers: bytes of the cache, with what an entry costs beside its
+# content, and characters of a remembered segment.
+CACHED_BYTES, ENTRY_BYTES, CACHED_LENGTH = 64 << 20, 160, 64
 
 
 class PieceEncoder:
@@ -50,28 +52,34 @@ class PieceEncoder:
         scores = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b), counts=False)
-        self.cache: dict[str, str] = {}
-        self.written: list[str] = []
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
+        self.written: list[bytes] = []
 
-    def text_of(self, token: str) -> str:
-        """A token's id, or the ids of its byte pieces, as decimal text."""
+    def ids_of(self, token: str) -> bytes:
+        """A token's id, or the ids of its byte pieces, as 32-bit integers."""
         known = self.ids.get(token)
-        return str(known) if known is not None else ",".join(str(self.bytes[b]) for b in token.encode())
+        return np.array([known] if known is not None else [self.bytes[b] for b in token.encode()], np.int32).tobytes()
 
-    def joined(self, texts: list[str]) -> list[str]:
-        """All ids of each text as decimal text, joined by commas; segments are encoded once
-        while the cache has room, and it starts anew between calls when it is full."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text as 32-bit integers. Segments of up to ``CACHED_LENGTH`` characters
+        are remembered while the cache has room; it starts anew between calls when it is full."""
         cut = [SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        if len(self.cache) > CACHED_SEGMENTS:
-            self.cache = {}
+        if self.held > CACHED_BYTES:
+            self.cache, self.held = {}, 0
         new = list({s for segments in cut for s in segments} - self.cache.keys())
         encoded = self.automaton.encode_many(new)
         names = self.automaton.names
         if len(self.written) != len(names):
-            self.written = [self.text_of(n) for n in names]
-        text = self.written.__getitem__
-        self.cache.update(zip(new, [",".join(map(text, e.tolist())) for e in encoded]))
-        return [",".join(map(self.cache.__getitem__, segments)) for segments in cut]
+            self.written = [self.ids_of(n) for n in names]
+        ids = self.written.__getitem__
+        found = dict(zip(new, [b"".join(map(ids, e.tolist())) for e in encoded]))
+        kept = {s: i for s, i in found.items() if len(s) <= CACHED_LENGTH}
+        self.cache |= kept
+        self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)
+        long = found.keys() - kept.keys()
+        get = (lambda s: found[s] if s in long else self.cache[s]) if long else self.cache.__getitem__
+        return [b"".join(map(get, segments)) for segments in cut]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -86,14 +94,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     (decoding the ids gives the text back)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
-        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+        for batch in by_size(batches, "text"):
             texts = [t or "" for t in batch["text"].to_pylist()]
-            ids = [[int(x) for x in s.split(",")] if s else [] for s in pieces.joined(texts)]
-            intact = [pieces.decode(i) == t for i, t in zip(ids, texts)]
+            encoded = pieces.encode(texts)
+            intact = [pieces.decode(np.frombuffer(e, np.int32).tolist()) == t for e, t in zip(encoded, texts)]
+            counts = [len(e) // 4 for e in encoded]
+            values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
-                ["doc_id", "n_tokens", "ids", "intact"],
-            )
+                [batch["doc_id"], pa.array(counts, pa.int64()), ids, pa.array(intact, pa.bool_())], ["doc_id", "n_tokens", "ids", "intact"])
 
     docs = only(docs, "doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids array<int>, intact boolean")
@@ -103,12 +112,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """The contract's digests of ``encode`` without moving the ids out of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
-        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+        decimal = per_process("decimals", lambda: [str(i) for i in range(pieces.library.get_piece_size())]).__getitem__
+        for batch in by_size(batches, "text"):
             counts, ids_hash, text_hash = [], [], []
-            for joined in pieces.joined([t or "" for t in batch["text"].to_pylist()]):
-                ids = [int(x) for x in joined.split(",")] if joined else []
+            for encoded in pieces.encode([t or "" for t in batch["text"].to_pylist()]):
+                ids = np.frombuffer(encoded, np.int32).tolist()
                 counts.append(len(ids))
-                ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+                ids_hash.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                 text_hash.append(hashlib.sha256(pieces.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
@@ -118,5 +128,3 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     docs = only(docs, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-

@@ -17,11 +17,13 @@ first; rows with equal ids follow one another by text hash; no rows give no shar
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkgrade.llm.common import only, per_process
-from sparkgrade.llm.token_counts import machine
-from sparkgrade.session import new_table_path
+from sparkgrade.llm.common import by_size, only, per_process
+from sparkgrade.llm.token_counts import LATIN, LATIN_WORD, Machine
+from sparkgrade.session import file_system, new_table_path
 
 MASK = 0xA282EAD8
 READ_BYTES = 4 << 20
-CACHED_WORDS = 500_000
-TOGETHER = 1000
+# Fragments and words that a worker remembers, and the characters of the longest of them.
+CACHED_FRAGMENTS, CACHED_WORDS, CACHED_LENGTH = 300_000, 500_000, 64
+BLANK = re.compile(r"\s")
 INDEX = "shard int, record bigint, file string, offset bigint, length bigint, start bigint, n_tokens bigint"
 
 
@@ -64,32 +67,61 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def filesystem(folder: str) -> tuple[Any, str]:
-    """The file system of a folder and the path in it (local, HDFS, object stores)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-
-
 class WordBytes:
-    """Ids of texts as bytes: encoded once per distinct blank-separated fragment, joined per text."""
+    """Ids of texts as bytes: the library encodes each distinct word of each distinct fragment once.
 
-    def __init__(self, path: str):
-        self.machine = machine(path, counts=False)
-        self.width = 2 if self.machine.library.get_vocab_size() <= 1 << 16 else 4
-        self.cache: dict[str, bytes] = {"": b""}
+    The tokenizer drops white space and cuts words at it, so the ids of a text are those of its
+    blank-separated fragments, one after another; other tokenizer files are refused.
+    """
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; the cache starts anew between calls when it is full."""
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        # One task, one core: the library starts no threads of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        Machine.check(spec)
+        if any(BLANK.search(t["content"]) for t in spec["added_tokens"]):
+            raise ValueError("a special token holds a blank")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.words: dict[str, bytes] = {}
+        self.fragments: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a cache starts anew between calls when it is full."""
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        if len(self.fragments) > CACHED_FRAGMENTS:
+            self.fragments = {}
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {"": b""}
-        new = list({f for fragments in cut for f in fragments} - self.cache.keys())
-        ids, ends = self.machine.encode(new)
-        data, width = ids.astype(f"<u{self.width}").tobytes(), self.width
-        self.cache.update(zip(new, [data[a * width:b * width] for a, b in zip([0, *ends], ends)]))
-        for fragments in cut:
-            yield b"".join(map(self.cache.__getitem__, fragments))
+        found = [list(map(self.fragments.get, fragments)) for fragments in cut]
+        new = list({f for fragments, ids in zip(cut, found) if None in ids for f, i in zip(fragments, ids) if i is None})
+        parts = [self.cut(f) for f in new]
+        words = list({w for part in parts for w in part} - self.words.keys())
+        kind = f"<u{self.width}"
+        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
+        self.words.update(zip(words, [np.array(e.ids, kind).tobytes() for e in encoded]))
+        known = dict(zip(new, [b"".join(map(self.words.__getitem__, part)) for part in parts]))
+        out = [
+            b"".join(ids) if None not in ids else b"".join([known[f] if i is None else i for f, i in zip(fragments, ids)])
+            for fragments, ids in zip(cut, found)
+        ]
+        self.fragments.update((f, i) for f, i in known.items() if len(f) <= CACHED_LENGTH)
+        for long in (w for w in words if len(w) > CACHED_LENGTH):
+            del self.words[long]
+        return out
+
+    def cut(self, fragment: str) -> list[str]:
+        """Words whose ids make up the fragment's: as the library cuts Latin text, else itself."""
+        if fragment.isascii() and fragment.isalpha():
+            return [fragment.lower()]
+        if LATIN.fullmatch(fragment) and "<|" not in fragment:
+            return LATIN_WORD.findall(fragment.lower())
+        return [fragment]
 
 
 def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
@@ -98,10 +130,10 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
         words = per_process(("words", path), lambda: WordBytes(path))
         shard = TaskContext.get().partitionId()
         end = end_id.to_bytes(words.width, "little")
-        system, base = filesystem(folder)
+        system, base = file_system(folder)
         file, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec", None
         record = offset = start = 0
-        for batch in (b.slice(i, TOGETHER) for b in batches for i in range(0, b.num_rows, TOGETHER)):
+        for batch in by_size(batches, "text"):
             rows = []
             for ids in words.ids([t or "" for t in batch["text"].to_pylist()]):
                 framed = frame(b"".join((bytes([words.width]), ids, end)))
@@ -146,7 +178,7 @@ def read_records(index: DataFrame, folder: str, digest: bool = False) -> DataFra
             yield block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = filesystem(folder)
+        system, base = file_system(folder)
         name, source = None, None
         for batch in batches:
             done = 0
