@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkgrade.llm import language, line_frequency, pieces, quality, secret_scan, simhash, templates
+from sparkgrade.llm import language, line_frequency, pieces, quality, secret_scan, templates
 from sparkgrade.llm.trigrams import trigram_query
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -194,21 +194,39 @@ def test_unseen_words_count_to_their_end(spark):
     assert {"qrst", "rst>", "<xxx", "<", ">"} - {"<", ">"} <= set(language.train(docs).grams)
 
 
+def five_word_classes(texts):
+    """Brute force: classes of ids whose texts have five-word similarity 0.8 or more."""
+    sets = {}
+    for i, text in texts.items():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        sets[i] = {tuple(words[j:j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}
+
+
 def test_pipeline_against_its_parts(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = corpus_pipeline.run(spark, folder).collect()
     labels, items = spark.read.parquet(f"{folder}/labels.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     good = {r.doc_id for r in quality.classify(docs, labels).where("predicted = 1").collect()}
-    classes = {}
-    for r in simhash.near_duplicates(docs.where(F.col("doc_id").isin(good))).collect():
-        classes.setdefault(r.component_id, set()).add(r.doc_id)
-    single = {min(c) for c in classes.values()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    single = set(five_word_classes(texts).values())
     clean = single - {r.doc_id for r in templates.report(docs, items).collect()}
     assert sorted(r.doc_id for r in rows) == sorted(clean)
     encoder = pieces.PieceEncoder(corpus_pipeline.public_tokenizers.path(corpus_pipeline.PIECES))
-    texts = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
-    assert all(r.ids == encoder.library.encode(texts[r.doc_id]) and r.intact for r in rows)
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert all(r.ids == encoder.library.encode(masked[r.doc_id]) and r.intact for r in rows)
 
 
 def test_pipeline_stages_keep_columns_and_take_odd_rows(spark, odd_rows):
