@@ -19,12 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
-        return qualified(spark, folder.rstrip("/"))
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="sparkgrade-")
     spark.conf.set(CHECKPOINT_CONF, folder)
-    return qualified(spark, folder)
+    return folder
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -45,7 +45,7 @@ def file_system(folder: str) -> tuple[Any, str]:
 
 def new_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten."""
-    return f"{shared_folder(spark)}/sparkgrade/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{shared_folder(spark)}/sparkgrade/{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
