@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ from sparkgrade.session import file_system, new_table_path
 
 MASK = 0xA282EAD8
 READ_BYTES = 4 << 20
+# Bytes of text that are encoded at once: the more, the fewer of their fragments are distinct.
+TOGETHER = 4 << 20
 # Fragments and words that a worker remembers, and the characters of the longest of them.
-CACHED_FRAGMENTS, CACHED_WORDS, CACHED_LENGTH = 300_000, 500_000, 64
+CACHED_FRAGMENTS, CACHED_WORDS, CACHED_LENGTH = 400_000, 500_000, 64
 BLANK = re.compile(r"\s")
 INDEX = "shard int, record bigint, file string, offset bigint, length bigint, start bigint, n_tokens bigint"
 
@@ -91,26 +94,35 @@ class WordBytes:
         self.words: dict[str, bytes] = {}
         self.fragments: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; a cache starts anew between calls when it is full."""
+    def ids(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text; a cache starts anew between calls when it is full. Only the
+        distinct fragments of a call become Python objects; Arrow finds and joins them."""
         if len(self.words) > CACHED_WORDS:
             self.words = {}
         if len(self.fragments) > CACHED_FRAGMENTS:
             self.fragments = {}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.fragments.get, fragments)) for fragments in cut]
-        new = list({f for fragments, ids in zip(cut, found) if None in ids for f, i in zip(fragments, ids) if i is None})
-        parts = [self.cut(f) for f in new]
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        fragments = coded.dictionary.to_pylist()
+        found = list(map(self.fragments.get, fragments))
+        new = [f for f, i in zip(fragments, found) if i is None]
+        known = dict(zip(new, self.encode(new)))
+        self.fragments.update((f, i) for f, i in known.items() if len(f) <= CACHED_LENGTH)
+        ids = pa.array([known[f] if i is None else i for f, i in zip(fragments, found)], pa.binary())
+        joined = ids.take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int32) if len(joined) else np.zeros(1, np.int32)
+        borders = ends[cut.offsets.to_numpy()].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(borders, borders[1:])]
+
+    def encode(self, fragments: list[str]) -> list[bytes]:
+        """The ids of distinct fragments, each new word through the library once."""
+        parts = [self.cut(f) for f in fragments]
         words = list({w for part in parts for w in part} - self.words.keys())
         kind = f"<u{self.width}"
         encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
         self.words.update(zip(words, [np.array(e.ids, kind).tobytes() for e in encoded]))
-        known = dict(zip(new, [b"".join(map(self.words.__getitem__, part)) for part in parts]))
-        out = [
-            b"".join(ids) if None not in ids else b"".join([known[f] if i is None else i for f, i in zip(fragments, ids)])
-            for fragments, ids in zip(cut, found)
-        ]
-        self.fragments.update((f, i) for f, i in known.items() if len(f) <= CACHED_LENGTH)
+        out = [self.words[part[0]] if len(part) == 1 else b"".join(map(self.words.__getitem__, part)) for part in parts]
         for long in (w for w in words if len(w) > CACHED_LENGTH):
             del self.words[long]
         return out
@@ -133,9 +145,9 @@ def write_records(docs: DataFrame, path: str, end_id: int, folder: str) -> DataF
         system, base = file_system(folder)
         file, sink = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec", None
         record = offset = start = 0
-        for batch in by_size(batches, "text"):
+        for batch in by_size(batches, "text", TOGETHER):
             rows = []
-            for ids in words.ids([t or "" for t in batch["text"].to_pylist()]):
+            for ids in words.ids(batch["text"]):
                 framed = frame(b"".join((bytes([words.width]), ids, end)))
                 if sink is None:
                     system.create_dir(f"{base}/data", recursive=True)
