@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -14,13 +15,23 @@ from pyspark.sql import functions as F
 
 
 def per_process(key: Any, make: Callable[[], Any]) -> Any:
-    """``make()`` once per Python worker, so tasks of one worker share models and caches."""
+    """``make()`` once per Python worker, so tasks of one worker share models and caches. A
+    worker holds one such model at a time: Spark keeps its workers from stage to stage."""
     store = sys.__dict__.setdefault("_sparkgrade_llm", {})
     if key not in store:
+        drop_models()
         store[key] = make()
     return store[key]
 
 
+def drop_models() -> None:
+    """Free what an earlier operator's tasks left in this Python worker."""
+    store = sys.__dict__.setdefault("_sparkgrade_llm", {})
+    if store:
+        store.clear()
+        gc.collect()
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns: columns beside them can't clash with an operator's own."""
     return df.select(*[df[n] for n in names])

@@ -28,6 +28,8 @@ SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 # Bounds of what a worker remembers: bytes of the cache, with what an entry costs beside its
 # content, and characters of a remembered segment.
 CACHED_BYTES, ENTRY_BYTES, CACHED_LENGTH = 64 << 20, 160, 64
+# States that a worker compiles before it starts anew: a table of 67 MB.
+COMPILED_STATES = 130_000
 
 
 class PieceEncoder:
@@ -51,10 +53,11 @@ class PieceEncoder:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == p.NORMAL}
         scores = {p.piece: -p.score for p in model.pieces if p.type == p.NORMAL}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b), counts=False)
+        self.automaton = Automaton(set(self.ids), lambda a, b: scores.get(a + b), counts=False, limit=COMPILED_STATES)
         self.cache: dict[str, bytes] = {}
         self.held = 0
         self.written: list[bytes] = []
+        self.decimal = [str(i) for i in range(self.library.get_piece_size())]
 
     def ids_of(self, token: str) -> bytes:
         """A token's id, or the ids of its byte pieces, as 32-bit integers."""
@@ -112,7 +115,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """The contract's digests of ``encode`` without moving the ids out of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
-        decimal = per_process("decimals", lambda: [str(i) for i in range(pieces.library.get_piece_size())]).__getitem__
+        decimal = pieces.decimal.__getitem__
         for batch in by_size(batches, "text"):
             counts, ids_hash, text_hash = [], [], []
             for encoded in pieces.encode([t or "" for t in batch["text"].to_pylist()]):

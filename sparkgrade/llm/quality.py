@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrade.llm.common import BoundedCache, hash_sample, only, remainder
+from sparkgrade.llm.common import BoundedCache, drop_models, hash_sample, only, remainder
 from sparkgrade.llm.line_frequency import BLANKS, repeated_words
 
 BUCKETS = 1 << 15
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000) -> FactorM
     given = with_length(docs).join(F.broadcast(chosen), "doc_id")  # bounded by most_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_models()
         buckets = BoundedCache(bucket, CACHED_WORDS)
         for batch in batches:
             found = [features(t.as_py() or "", c.as_py(), buckets) for t, c in zip(batch["text"], batch["n_chars"])]
@@ -168,6 +169,7 @@ def scorer(docs: DataFrame, machine: FactorMachine) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.weights, machine.factors))
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        drop_models()
         own, buckets = FactorMachine(*shared.value), BoundedCache(bucket, CACHED_WORDS)
         for texts, chars in batches:
             yield pd.Series([own.score(*features(t or "", None if pd.isna(c) else int(c), buckets)) for t, c in zip(texts, chars)], dtype="float64")
