@@ -47,12 +47,14 @@ def issues_from_assessment(rows: DataFrame, raw: Column | str = "assessment") ->
     )
 
 
-def make_issue(rows: DataFrame, stage: str, severity: str, code: str, message: str) -> DataFrame:
-    """One fixed issue per row, for rule checks such as a missing source."""
+def make_issue(
+    rows: DataFrame, stage: str, severity: str, code: str, message: Column | str, details: Column | None = None,
+) -> DataFrame:
+    """One issue per row of ``rows``, for what rules find, such as a missing source."""
     return rows.select(
         "split", "id", F.lit(stage).alias("stage"), F.lit(severity).alias("severity"),
-        tx.issue_code(F.lit(code)).alias("code"), F.lit(message).alias("message"),
-        F.lit(None).cast("string").alias("details"),
+        tx.issue_code(F.lit(code)).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"),
+        (F.lit(None).cast("string") if details is None else details).alias("details"),
     )
 
 
