@@ -9,6 +9,7 @@ import xxhash
 
 import corpus_pipeline
 from sparkgrade.llm import passages, simhash
+from sparkgrade.llm.common import row_key
 from sparkgrade.llm.components import components
 
 
@@ -237,3 +238,21 @@ def test_every_copy_inside_a_document_is_found(spark, heads):
     held = {s for i, a, b in found if i == 1 for s in starts if a <= s and b >= s + 70}
     holder = min((r.source_doc_id for r in spans(spark, rows)), default=None)
     assert held == set(starts) or holder == 1 and held
+
+
+def test_passages_hidden_by_overlapping_pieces_in_other_documents(spark):
+    """Documents of lower key hold overlapping pieces, all too short; two or six others hold the whole."""
+    pick, rows, whole = random.Random(24), [], []
+    for times in (2, 2, 6):
+        passage = words_of(pick, 90)
+        for at in [*range(53)] * 2:
+            rows.append((len(rows), " ".join(words_of(pick, 15) + passage[at:at + 38] + words_of(pick, 15))))
+        holders = [(10_000 + 300 * len(whole) + i, " ".join(words_of(pick, 30) + passage + words_of(pick, 30))) for i in range(300)]
+        keyed = spark.createDataFrame(holders, "doc_id long, text string").withColumn("key", row_key("doc_id", "text"))
+        late = [r.doc_id for r in keyed.orderBy("key").collect()[-times:]]
+        whole.append(set(late))
+        rows += [h for h in holders if h[0] in whole[-1]]
+    found = {(r.doc_id, r.source_doc_id) for r in spans(spark, rows)}
+    classes = slow_classes(found, [i for i, _ in rows])
+    assert all(len({classes[i] for i in w}) == 1 for w in whole)
+    assert {i for pair in found for i in pair} == set().union(*whole)
