@@ -42,7 +42,10 @@ READ_BYTES = 4 << 20
 TOGETHER = 4 << 20
 # Fragments and words that a worker remembers, and the characters of the longest of them.
 CACHED_FRAGMENTS, CACHED_WORDS, CACHED_LENGTH = 400_000, 500_000, 64
+# Words that the library gets in one text.
+JOINED = 1_000
 BLANK = re.compile(r"\s")
+LATIN_LOWER = re.compile("[a-zß-öø-ÿ]+")
 INDEX = "shard int, record bigint, file string, offset bigint, length bigint, start bigint, n_tokens bigint"
 
 
@@ -91,6 +94,14 @@ class WordBytes:
         self.library.no_truncation()
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        # The same model for Latin words that are cut and lower-cased already.
+        self.inner = Tokenizer.from_str(json.dumps({
+            **spec, "normalizer": None, "truncation": None, "padding": None,
+            "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]},
+        }))
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        suffix, special = spec["model"]["end_of_word_suffix"], {t["id"] for t in spec["added_tokens"]}
+        self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix) and i not in special]] = True
         self.words: dict[str, bytes] = {}
         self.fragments: dict[str, bytes] = {}
 
@@ -117,20 +128,40 @@ class WordBytes:
 
     def encode(self, fragments: list[str]) -> list[bytes]:
         """The ids of distinct fragments, each new word through the library once."""
-        parts = [self.cut(f) for f in fragments]
+        plain = [f.isascii() and f.isalpha() for f in fragments]
+        parts = [[f.lower()] if p else self.cut(f) for f, p in zip(fragments, plain)]
         words = list({w for part in parts for w in part} - self.words.keys())
-        kind = f"<u{self.width}"
-        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
-        self.words.update(zip(words, [np.array(e.ids, kind).tobytes() for e in encoded]))
+        latin = [w for w in words if LATIN_LOWER.fullmatch(w)]
+        self.words.update(zip(latin, self.joined(latin)))
+        if len(latin) < len(words):
+            others = [w for w in words if w not in self.words]
+            self.words.update(zip(others, self.single(others)))
         out = [self.words[part[0]] if len(part) == 1 else b"".join(map(self.words.__getitem__, part)) for part in parts]
         for long in (w for w in words if len(w) > CACHED_LENGTH):
             del self.words[long]
         return out
 
+    def single(self, words: list[str]) -> list[bytes]:
+        kind = f"<u{self.width}"
+        return [np.array(e.ids, kind).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """The ids of words of lower-case Latin letters: many to a text, told apart by the ids that
+        end a word."""
+        kind, out = f"<u{self.width}", []
+        for i in range(0, len(words), JOINED):
+            some = words[i:i + JOINED]
+            ids = np.array(self.inner.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cuts) != len(some):
+                out += self.single(some)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
     def cut(self, fragment: str) -> list[str]:
         """Words whose ids make up the fragment's: as the library cuts Latin text, else itself."""
-        if fragment.isascii() and fragment.isalpha():
-            return [fragment.lower()]
         if LATIN.fullmatch(fragment) and "<|" not in fragment:
             return LATIN_WORD.findall(fragment.lower())
         return [fragment]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -122,3 +123,25 @@ def test_index_reads_any_subset_in_any_order(spark, small_docs, words, tmp_path)
     texts = {r.doc_id: r.text for r in small_docs.collect()}
     assert len(some) == sum(i % 7 == 3 for i in texts)
     assert all(list(r.ids) == [*ids(words, texts[r.doc_id]), 2] for r in some)
+
+
+def test_latin_words_go_to_the_library_many_at_once(prose):
+    """The ids of the library on whole texts, from few calls of it."""
+    words, calls = records.WordBytes(WORDS), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return self.library.encode_batch_fast(texts, **options)
+
+    library = words.library
+    words.library = Counted(words.library)
+    if hasattr(words, "inner"):
+        words.inner = Counted(words.inner)
+    texts = [" ".join(prose(300, seed=3)), "straße ÆON naïve ÿ ×÷ 'tis don't µ ª ½ " + "é" * 3000, "a-b c_d 12 <|endoftext|> 中文 😀"]
+    got = [np.frombuffer(i, "<u2").tolist() for i in words.ids(pa.array(texts))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(words.words) > 800 and len(calls) < 50
