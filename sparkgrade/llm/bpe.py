@@ -52,6 +52,7 @@ class Automaton:
         self.open = {t[:i] for t in tokens for i in range(1, len(t))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.names: dict[str, int] = {"": 0}
+        self.heads: dict[str, tuple] = {}
         self.shapes: dict[str, tuple] = {}
         self.reset()
 
@@ -61,12 +62,17 @@ class Automaton:
         self.listed: list[State] = []
         self.columns = np.full(0x110000, -1, np.int32)
         self.symbols: list[str] = []
-        self.next = np.full((1024, 64), -1, np.int32)
-        self.last, self.length = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        # Numbers of states, 0 where no transition is compiled yet: no transition leads to the start.
+        # Pages of rows that no state has are never touched, so they take no memory.
+        self.next = np.zeros((self.rows(), 64), np.int32)
+        self.last, self.length = np.zeros(len(self.next), np.int32), np.zeros(len(self.next), np.int32)
         self.start = self.state("", ((None, 0),))
 
+    def rows(self) -> int:
+        return max(1024, self.limit + self.limit // 8)
+
     def full(self) -> bool:
-        if len(self.pairs) > 2 * self.limit:
+        if len(self.pairs) > self.limit:
             self.pairs.clear()
         if len(self.shapes) > self.limit:
             self.shapes.clear()
@@ -122,7 +128,7 @@ class Automaton:
             moved = [(t[0], t[1] - count - 1) if held else CLOSED for t, held in zip(window, places)]
         else:
             moved = [t if held else CLOSED for t, held in zip(window, places)]
-        return self.state(suffix, ((token, 0), *moved)), length, token, count + 1
+        return self.state(suffix, (self.heads.setdefault(token, (token, 0)), *moved)), length, token, count + 1
 
     def encode(self, word: str) -> list[str]:
         """The tokens of a word: a table of each prefix's last token, read backwards."""
@@ -148,7 +154,9 @@ class Automaton:
                 self.columns[code] = len(self.symbols)
                 self.symbols.append(chr(code))
         if len(self.symbols) > self.next.shape[1]:
-            self.next = np.pad(self.next, ((0, 0), (0, self.next.shape[1])), constant_values=-1)
+            wider, used = np.zeros((len(self.next), self.next.shape[1] + 32), np.int32), len(self.listed)
+            wider[:used, :self.next.shape[1]] = self.next[:used]
+            self.next = wider
             return self.column(symbols)
         return self.columns[symbols]
 
@@ -157,7 +165,7 @@ class Automaton:
         after, length, token, _ = self.step(self.listed[state], self.symbols[column])
         while after.number >= len(self.next):
             size = len(self.next)
-            self.next = np.pad(self.next, ((0, size), (0, 0)), constant_values=-1)
+            self.next = np.pad(self.next, ((0, size), (0, 0)))
             self.last, self.length = np.pad(self.last, (0, size)), np.pad(self.length, (0, size))
         self.next[state, column] = after.number
         self.last[after.number] = self.names.setdefault(token, len(self.names))
@@ -181,8 +189,8 @@ class Automaton:
             at, seen = np.zeros(len(places), np.int32), np.empty((size, len(places)), np.int32)
             for j in range(size):
                 after = self.next[at, columns[:, j]]
-                if (after < 0).any():
-                    missing = np.unique(np.stack([at, columns[:, j]], 1)[after < 0], axis=0)
+                if not after.all():
+                    missing = np.unique(np.stack([at, columns[:, j]], 1)[after == 0], axis=0)
                     for state, column in missing.tolist():
                         self.compile(state, column)
                     after = self.next[at, columns[:, j]]

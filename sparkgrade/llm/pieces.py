@@ -27,8 +27,8 @@ BLANK = "▁"
 SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 # Bounds of what a worker remembers: bytes of the cache, with what an entry costs beside its
 # content, and characters of a remembered segment.
-CACHED_BYTES, ENTRY_BYTES, CACHED_LENGTH = 64 << 20, 160, 64
-# States that a worker compiles before it starts anew: a table of 67 MB.
+CACHED_BYTES, ENTRY_BYTES, CACHED_LENGTH = 16 << 20, 160, 64
+# States that a worker compiles before it starts anew: a table of 50 to 70 MB.
 COMPILED_STATES = 130_000
 
 

@@ -145,3 +145,14 @@ def test_latin_words_go_to_the_library_many_at_once(prose):
     got = [np.frombuffer(i, "<u2").tolist() for i in words.ids(pa.array(texts))]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(words.words) > 800 and len(calls) < 50
+
+
+def test_piece_workers_hold_little(piece_library):
+    """The table widens by a few columns, in rows that are touched on use; the cache is small."""
+    symbols = [chr(c) for c in [*range(97, 123), *range(224, 246), *range(945, 969)]]
+    pick = random.Random(8)
+    texts = [" ".join("".join(pick.choice(symbols) for _ in range(pick.randint(1, 9))) for _ in range(200)) for _ in range(20)]
+    encoder = pieces.PieceEncoder(PIECES)
+    assert [np.frombuffer(e, np.int32).tolist() for e in encoder.encode(texts)] == [piece_library.encode(t) for t in texts]
+    assert 64 < len(encoder.automaton.symbols) <= 96 and encoder.automaton.next.shape[1] == 96
+    assert pieces.CACHED_BYTES <= 16 << 20
