@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from sparkgrade.llm import passages, simhash
+from sparkgrade.llm import near_copies, passages, simhash
 from sparkgrade.llm.common import row_key
 from sparkgrade.llm.components import components
 
@@ -256,3 +256,27 @@ def test_passages_hidden_by_overlapping_pieces_in_other_documents(spark):
     classes = slow_classes(found, [i for i, _ in rows])
     assert all(len({classes[i] for i in w}) == 1 for w in whole)
     assert {i for pair in found for i in pair} == set().union(*whole)
+
+
+def test_near_duplicates_stage_links_by_simhash_first(spark, prose, monkeypatch):
+    """The stage's fingerprints of five-word shingles, and their links within three bits, verified."""
+    pick, rows = random.Random(12), []
+    for base in prose(12, seed=6, least=150, most=200):
+        for wrong in (0, 1, 2):
+            words = base.split()
+            for i in pick.sample(range(len(words)), wrong):
+                words[i] = f"new{i}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(100, None), (101, "a b"), (102, "A  b")]
+    calls, links = [], near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda nodes, bits: calls.append(bits) or links(nodes, bits))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [*range(0, 36, 3), 100, 101]
+    assert calls == [3]
+    texts = docs.withColumn("key", row_key("doc_id", "text"))
+    prints = near_copies.prefixes(texts)
+    node = {r.doc_id: r.node for r in prints.collect()}
+    marks = {r.doc_id: simhash.fingerprint(r.text or "", 5) for r in docs.collect()}
+    near = {frozenset((node[i], node[j])) for i in marks for j in marks if node[i] != node[j] and (marks[i] ^ marks[j]).bit_count() <= 3}
+    found = {frozenset(r) for r in near_copies.marked_pairs(texts, prints).select("a", "b").collect()}
+    assert near and found <= near and slow_classes(map(tuple, found), node.values()) == slow_classes(map(tuple, near), node.values())
