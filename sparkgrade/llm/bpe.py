@@ -4,7 +4,9 @@ A sequence of tokens is the encoding of its text exactly when each pair of neigh
 the encoding of its own text. So every prefix of a word has one last token: among the
 tokens that end there, the one compatible with the last token of the prefix before it.
 What later symbols can still change is decided by the last tokens of those prefixes from
-which a token may still be open. A state is therefore the longest suffix that begins some
+which a token may still be open. Whether two tokens are compatible is read off their merges: taken back one
+by one, the latest first, no two tokens that then meet at the border may merge before what was
+taken back last. A state is therefore the longest suffix that begins some
 token (the matching automaton's node) with the last token, and the relative token count if
 counts are asked for, at each place where a token may be open. There are finitely many
 states; transitions are built on first use.
@@ -19,6 +21,8 @@ import numpy as np
 LONGEST = 48
 MOST_COLUMNS = 1024
 CLOSED = ("", 0)
+# The last merge of a single symbol: none, before all others.
+SYMBOL = (float("-inf"), "", "")
 
 
 class State(dict):
@@ -50,7 +54,7 @@ class Automaton:
     def __init__(self, tokens: set[str], rank: Callable[[str, str], float | None], counts: bool = True, limit: int = 220_000):
         self.tokens, self.rank, self.counts, self.limit = tokens, rank, counts, limit
         self.open = {t[:i] for t in tokens for i in range(1, len(t))}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.makings: dict[str, tuple | None] = {}
         self.names: dict[str, int] = {"": 0}
         self.heads: dict[str, tuple] = {}
         self.shapes: dict[str, tuple] = {}
@@ -72,8 +76,6 @@ class Automaton:
         return max(1024, self.limit + self.limit // 8)
 
     def full(self) -> bool:
-        if len(self.pairs) > self.limit:
-            self.pairs.clear()
         if len(self.shapes) > self.limit:
             self.shapes.clear()
         return len(self.states) > self.limit
@@ -85,10 +87,10 @@ class Automaton:
             self.listed.append(self.states[key])
         return self.states[key]
 
-    def merged(self, text: str) -> list[str]:
-        """The encoding by merging: best rank first, leftmost among equals."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The encoding by merging, as far as ``least`` parts: best rank first, leftmost among equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self.rank(parts[i], parts[i + 1])
@@ -99,11 +101,34 @@ class Automaton:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def making(self, token: str) -> tuple | None:
+        """Rank and both halves of a token's last merge; None if its merges' ranks do not ascend."""
+        if len(token) == 1:
+            return SYMBOL
+        if token not in self.makings:
+            left, right = self.merged(token, 2)
+            rank, halves = self.rank(left, right), (self.making(left), self.making(right))
+            self.makings[token] = (rank, left, right) if all(h and h[0] < rank for h in halves) else None
+        return self.makings[token]
+
     def compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if key not in self.pairs:
-            self.pairs[key] = self.merged(left + right) == [left, right]
-        return self.pairs[key]
+        """Two tokens, each the encoding of its text, are the encoding of the text of both."""
+        one, two = self.making(left), self.making(right)
+        if one is None or two is None:
+            return self.merged(left + right) == [left, right]
+        before, also, made = float("inf"), False, self.makings
+        while True:
+            rank = self.rank(left, right)
+            if rank is not None and (rank < before or also and rank == before):
+                return False
+            if one[0] > two[0]:
+                before, also, left = one[0], False, one[2]
+                one = made.get(left, SYMBOL)
+            elif two[0] > SYMBOL[0]:  # of equal merges the leftmost comes first
+                before, also, right = two[0], True, two[1]
+                two = made.get(right, SYMBOL)
+            else:
+                return True
 
     def shape(self, grown: str) -> tuple:
         """What depends on the open suffix and the new symbol alone: the tokens that end

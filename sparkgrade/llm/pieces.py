@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         self.held = 0
         self.written: list[bytes] = []
+        self.lone = np.zeros(0, np.int32)  # the id of each of ``written``, -1 if there are several
         self.decimal = [str(i) for i in range(self.library.get_piece_size())]
 
     def ids_of(self, token: str) -> bytes:
@@ -72,11 +74,15 @@ class PieceEncoder:
             self.cache, self.held = {}, 0
         new = list({s for segments in cut for s in segments} - self.cache.keys())
         encoded = self.automaton.encode_many(new)
-        names = self.automaton.names
-        if len(self.written) != len(names):
-            self.written = [self.ids_of(n) for n in names]
-        ids = self.written.__getitem__
-        found = dict(zip(new, [b"".join(map(ids, e.tolist())) for e in encoded]))
+        more = [self.ids_of(n) for n in islice(self.automaton.names, len(self.written), None)]
+        self.written += more
+        self.lone = np.append(self.lone, np.array([np.frombuffer(w, np.int32)[0] if len(w) == 4 else -1 for w in more], np.int32))
+        ends = np.cumsum([len(e) for e in encoded], dtype=np.int64)
+        ids = self.lone[np.concatenate([np.zeros(0, np.int32), *encoded])]
+        data, borders = ids.tobytes(), (4 * ends).tolist()
+        found = {s: data[a:b] for s, a, b in zip(new, [0, *borders], borders)}
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():
+            found[new[i]] = b"".join(map(self.written.__getitem__, encoded[i].tolist()))
         kept = {s: i for s, i in found.items() if len(s) <= CACHED_LENGTH}
         self.cache |= kept
         self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY_BYTES * len(kept)

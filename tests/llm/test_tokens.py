@@ -11,10 +11,11 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from sparkgrade.llm import pieces, records, token_counts
+from sparkgrade.llm import bpe, pieces, records, token_counts
 from sparkgrade.llm.token_counts import Machine, border_counts, scan
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SENTENCES = sentencepiece.SentencePieceProcessor(model_file=PIECES)
 SCRAPS = [
     "a", "the", " ", "  ", "   ", "'", "'S", "'re", "'r", "'l", "'ll", "'V", "ve", "\n", "\t", "é", "É", "中", "😀", "0", "12",
     "<|endoftext|>", "<|startoftext|>", "<|endof", "</w>", "<0x41>", "</s>", "▁", "İ", "Σ", "́", "\x00", "\x1c", "\x85", "qu",
@@ -156,3 +157,21 @@ def test_piece_workers_hold_little(piece_library):
     assert [np.frombuffer(e, np.int32).tolist() for e in encoder.encode(texts)] == [piece_library.encode(t) for t in texts]
     assert 64 < len(encoder.automaton.symbols) <= 96 and encoder.automaton.next.shape[1] == 96
     assert pieces.CACHED_BYTES <= 16 << 20
+
+
+def test_compatible_tokens_are_told_by_few_ranks():
+    """As merging tells them, with at most one rank a merge that is taken back."""
+    asked, pick = [], random.Random(10)
+    scores = {p: -s for i in range(32_000) if len(p := SENTENCES.id_to_piece(i)) > 1 and not p.startswith("<") for s in [SENTENCES.get_score(i)]}
+    few = {a + b: i for i, (a, b) in enumerate([("a", "a"), ("a", "b"), ("aa", "b"), ("ab", "a"), ("b", "a"), ("aa", "aa"), ("ba", "ba"), ("aab", "aa")])}
+    odd = {"bc": 5, "abc": 2, "ab": 9, "cd": 1, "abcd": 0, "bcb": 3, "da": 4}  # "abc" is made by a worse merge
+    for ranks, letters in ((scores, ""), (few, "ab"), (odd, "abcd")):
+        machine = bpe.Automaton(set(ranks) | set(letters), lambda a, b: asked.append(1) or ranks.get(a + b), counts=False)  # noqa: B023
+        tokens = sorted(t for t in machine.tokens if machine.merged(t) == [t])
+        pairs = [(pick.choice(tokens), pick.choice(tokens)) for _ in range(3000)] if ranks is scores else [(a, b) for a in tokens for b in tokens]
+        want = [machine.merged(a + b) == [a, b] for a, b in pairs]
+        assert [machine.compatible(a, b) for a, b in pairs] == want and 0 < sum(want) < len(want)
+        if ranks is scores:
+            asked.clear()
+            assert [machine.compatible(a, b) for a, b in pairs] == want
+            assert len(asked) < sum(len(a + b) for a, b in pairs)
