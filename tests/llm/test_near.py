@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -280,3 +281,35 @@ def test_near_duplicates_stage_links_by_simhash_first(spark, prose, monkeypatch)
     near = {frozenset((node[i], node[j])) for i in marks for j in marks if node[i] != node[j] and (marks[i] ^ marks[j]).bit_count() <= 3}
     found = {frozenset(r) for r in near_copies.marked_pairs(texts, prints).select("a", "b").collect()}
     assert near and found <= near and slow_classes(map(tuple, found), node.values()) == slow_classes(map(tuple, near), node.values())
+
+
+def test_shared_shingles_and_bitmaps_of_the_near_duplicates_stage(spark, prose, monkeypatch):
+    """Shared prefix shingles against a plain count; sets are made only of texts whose bitmaps leave a chance."""
+    line = " ".join(prose(1, seed=31, least=24, most=24))
+    rows = [(i, f"{line} {text}" if i % 2 else text) for i, text in enumerate(prose(60, seed=30, least=90, most=100))]
+    rows += [(100, rows[3][1] + " more"), (101, None), (102, "a b"), (103, rows[5][1])]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", row_key("doc_id", "text"))
+    each = near_copies.one_per_node(near_copies.prefixes(texts))
+    nodes = {r.node: r for r in each.collect()}
+    count = Counter(c for r in nodes.values() for c in r.prefix)
+    want = set()
+    for r in nodes.values():
+        for pos, c in enumerate(r.prefix):
+            before = sum(count[x] > 1 for x in r.prefix[:pos])
+            if count[c] > 1 and 9 * (before + r.n - pos) >= 4 * (r.n + -(-4 * r.n // 5)):
+                want.add((c, r.node, r.n, before, r.n - pos))
+    got = near_copies.sharing(each).collect()
+    assert want and set(map(tuple, got)) == want and len(got) == len(want)
+    made, sets = [], near_copies.shingle_sets
+    monkeypatch.setattr(near_copies, "shingle_sets", lambda docs, prints, asked: made.extend(r.node for r in asked.collect()) or sets(docs, prints, asked))
+    kept = {r.doc_id for r in near_copies.one_of_each(texts.select("doc_id", "text")).collect()}
+    assert kept == {*range(60), 101, 102} and len(made) == len(set(made)) == 2
+
+
+def test_bitmaps_bound_what_sets_have_in_common():
+    pick = np.random.default_rng(4)
+    for n, m, same in ((0, 0, 0), (1, 1, 1), (1, 0, 0), (900, 1100, 880), (1000, 1030, 0), (1000, 1000, 300), (3, 4000, 3), (500, 520, 480)):
+        codes = pick.integers(0, 1 << 64, n + m - same, np.uint64)
+        one, two = codes[:n], codes[n - same:]
+        most = near_copies.most_common(near_copies.bitmap(one), near_copies.bitmap(two), n, m)
+        assert same <= most <= min(n, m) and (same > 300 or n < 1000 or 9 * most < 4 * (n + m))
