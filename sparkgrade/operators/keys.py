@@ -16,6 +16,16 @@ def as_columns(columns: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows dealt out over all cores, for work that costs far more than moving them.
+
+    A small file is read by one task however many rows it has, and so is what follows.
+    """
+    spark = rows.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks)
+
+
 def head_per_group(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], n: int) -> DataFrame:
     """First ``n`` rows per key in the given order, numbered from 1 in ``row_number``.
 
