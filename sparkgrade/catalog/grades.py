@@ -214,7 +214,7 @@ def nearly_equal(spark: SparkSession, folder: str) -> DataFrame:
         return F.replace(F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), (case + 1).cast("int")), F.lit("{n}"), n)
 
     verdict = identity.expression_verdict(written(0), written(1))
-    return table(spark, folder, "part").select("p_partkey", (verdict == identity.EQUAL).alias("same"))
+    return spread(table(spark, folder, "part").select("p_partkey")).select("p_partkey", (verdict == identity.EQUAL).alias("same"))
 
 
 def _relations(column: str) -> tuple[Column, Column]:

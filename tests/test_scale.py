@@ -48,3 +48,7 @@ def test_functions_are_evaluated_once_an_argument():
 
 def test_the_sign_of_zero_does_not_choose_a_branch():
     assert identity.verdict("log(6/(-2))", "log(-3)") == "equal"
+
+
+def test_nearly_equal_is_dealt_out(spark):
+    assert tasks(spark, "nearly_equal") >= spark.sparkContext.defaultParallelism
