@@ -231,7 +231,8 @@ def symbol_audit(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('{"allowed_symbols": ["'), second, F.lit('", "'), first, F.lit('", "pi", "2x"], "symbol_definitions": {"'),
         first, F.lit('": " the first ", "zz": "none"}}'),
     )
-    rows = table(spark, folder, "part").withColumn("contract", sy.parse_contract(contract))
+    parts = keys.spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_type"))
+    rows = parts.withColumn("contract", sy.parse_contract(contract))
     allowed = F.col("contract.allowed_symbols")
     expression = F.concat(first, F.lit(" + sqrt("), second, F.lit(")"), F.when(F.col("p_type") == "SMALL", "*extra").otherwise(""))
     old = F.concat(F.lit("Q "), text("p_partkey"), F.lit("  \n\nSymbols (for final answer):\n- `old`"))

@@ -147,24 +147,34 @@ def symbol_definitions(definitions: Column | str, allowed: Column) -> Column:
         entries,
         lambda e: _is_symbol(e["key"]) & ((F.size(allowed) == 0) | F.array_contains(allowed, e["key"])),
     )
-    distinct = F.filter(
-        kept,
-        lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda x: x["key"] == e["key"]),
-    )
-    return F.map_from_entries(distinct)
+
+    def distinct(kept: Column) -> Column:
+        return F.filter(
+            kept,
+            lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda x: x["key"] == e["key"]),
+        )
+
+    return F.map_from_entries(tx.let(kept, distinct))
 
 
 def parse_contract(raw: Column | str) -> Column:
-    """``struct<allowed_symbols, symbol_definitions>`` from JSON text; empty when unusable."""
+    """``struct<allowed_symbols, symbol_definitions>`` from JSON text; empty when unusable.
+
+    The text is parsed once, and as one value: a struct made in the open would be taken apart
+    by the optimiser and parsed again for each use of a field.
+    """
     parsed = F.from_json(
         as_column(raw), "allowed_symbols array<string>, symbol_definitions map<string,string>"
     )
-    allowed = allowed_symbols(parsed["allowed_symbols"])
-    definitions = F.coalesce(
-        symbol_definitions(parsed["symbol_definitions"], allowed),
-        F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")),
-    )
-    return F.struct(allowed.alias("allowed_symbols"), definitions.alias("symbol_definitions"))
+
+    def contract(parsed: Column, allowed: Column) -> Column:
+        definitions = F.coalesce(
+            symbol_definitions(parsed["symbol_definitions"], allowed),
+            F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")),
+        )
+        return F.struct(allowed.alias("allowed_symbols"), definitions.alias("symbol_definitions"))
+
+    return tx.let(parsed, lambda p: tx.let(allowed_symbols(p["allowed_symbols"]), lambda a: contract(p, a)))
 
 
 def resolve_allowed(direct: Column | str, contract: Column | str, reference: Column | str) -> Column:

@@ -52,3 +52,9 @@ def test_the_sign_of_zero_does_not_choose_a_branch():
 
 def test_nearly_equal_is_dealt_out(spark):
     assert tasks(spark, "nearly_equal") >= spark.sparkContext.defaultParallelism
+
+
+def test_symbol_audit_is_dealt_out_and_parses_a_contract_once(spark):
+    assert tasks(spark, "symbol_audit") >= spark.sparkContext.defaultParallelism
+    plan = entry.queries()["symbol_audit"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
