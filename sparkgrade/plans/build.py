@@ -14,6 +14,9 @@ from sparkgrade.session import cut_lineage
 
 Scorer = Callable[[], Callable[[str], str]]
 
+#: Columns that tables are joined and counted by; they stay columns of their own on disk.
+KEYS = ("split", "id", "reply_status")
+
 
 @dataclass
 class Dataset:
@@ -28,16 +31,27 @@ class Dataset:
         })
 
 
+def called(
+    rows: DataFrame, request: Column, scorer: Scorer, threads: int,
+    accept: Callable[[str], bool] = scoring.is_object, attempts: int = 3,
+) -> DataFrame:
+    """Rows with the scorer's ``reply`` and ``reply_status``, to be written before they are used
+    twice. Replies that ``accept`` refuses are asked for again; NULL or the last refused reply
+    is a failure."""
+    return rows.withColumn("_scored", scoring.score(request, scorer, attempts, threads, accept)).select(
+        "*", F.col("_scored.response").alias("reply"), F.col("_scored.status").alias("reply_status")
+    ).drop("_scored")
+
+
 def ask(
     rows: DataFrame, request: Column, scorer: Scorer, name: str, threads: int,
     accept: Callable[[str], bool] = scoring.is_object, attempts: int = 3,
 ) -> DataFrame:
-    """Rows with the scorer's ``reply`` and ``reply_status``, written once. Replies that
-    ``accept`` refuses are asked for again; NULL or the last refused reply is a failure."""
-    scored = rows.withColumn("_scored", scoring.score(request, scorer, attempts, threads, accept)).select(
-        "*", F.col("_scored.response").alias("reply"), F.col("_scored.status").alias("reply_status")
-    )
-    return cut_lineage(scored.drop("_scored"), name)
+    """:func:`called`, written once. A row holds its question several times over, and so do the
+    parts of one question."""
+    scored = called(rows, request, scorer, threads, accept, attempts)
+    texts = [f.name for f in scored.schema if f.dataType.simpleString() == "string" and f.name not in KEYS]
+    return cut_lineage(scored, name, texts)
 
 
 def check_references(problems: DataFrame, scorer: Scorer, cache: DataFrame | None = None, threads: int = 4) -> DataFrame:
@@ -59,13 +73,18 @@ def split_questions(stage1: DataFrame, scorer: Scorer, threads: int = 4) -> Data
 def convert_items(stage2: DataFrame, scorer: Scorer, aligner: Scorer, threads: int = 4) -> DataFrame:
     """Stage 3, with one repair of items that break their symbol contract, then alignment."""
     parts = build.explode_pairs(stage2)
-    first = build.convert_rows(ask(parts, build.convert_request(), scorer, "stage3", threads).drop("reply_status"))
-    first = first.withColumn("_hint", build.repair_hint())
-    passed = first.filter("_hint IS NULL").drop("_hint").withColumn("stage3_retry_count", F.lit(0))
-    broken = first.filter("_hint IS NOT NULL").select(*parts.columns, "_hint")
-    asked = ask(broken, build.convert_request(F.col("_hint")), scorer, "repair", threads)
-    repaired = build.convert_rows(asked.drop("_hint", "reply_status")).withColumn("stage3_retry_count", F.lit(1))
-    rows = passed.unionByName(repaired)
+    first = called(parts, build.convert_request(), scorer, threads).drop("reply_status")
+    hinted = build.convert_rows(first.withColumn("_first", F.col("reply"))).withColumn("_hint", build.repair_hint())
+    hinted = hinted.select(*parts.columns, "_first", "_hint")
+    # Both calls for a row are made before it is written. A NULL request is skipped: rows that
+    # passed keep their reply, and their place beside the other parts of their question.
+    again = F.when(F.col("_hint").isNotNull(), build.convert_request(F.col("_hint")))
+    asked = ask(hinted, again, scorer, "stage3", threads).drop("reply_status")
+    asked = asked.withColumns({
+        "reply": F.when(F.col("_hint").isNull(), F.col("_first")).otherwise(F.col("reply")),
+        "stage3_retry_count": F.col("_hint").isNotNull().cast("int"),
+    })
+    rows = build.convert_rows(asked.drop("_first", "_hint"))
     return build.sync_rows(ask(rows, build.sync_request(), aligner, "aligned", threads))
 
 

@@ -1,12 +1,15 @@
 """Queries that must use every core, and the exactness of what was made faster for it."""
 
 import decimal
+import random
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from sparkgrade.operators import identity
+from sparkgrade.session import cut_lineage, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,3 +61,39 @@ def test_symbol_audit_is_dealt_out_and_parses_a_contract_once(spark):
     assert tasks(spark, "symbol_audit") >= spark.sparkContext.defaultParallelism
     plan = entry.queries()["symbol_audit"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def written(spark, since: set) -> int:
+    """Bytes of the tables below the shared folder that are not in ``since``."""
+    return sum(p.stat().st_size for p in tables(spark) - since)
+
+
+def tables(spark) -> set[Path]:
+    return set(Path(shared_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_packed_texts_come_back_as_they_were(spark):
+    noise = random.Random(1)
+    long = ["".join(noise.choices("abcdefghijklmnop", k=3000)) for _ in range(40)]
+    rows = [(i, t, None if i % 3 else t + "!", "") for i, t in enumerate(long)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string").coalesce(1)
+    before = tables(spark)
+    packed = cut_lineage(df, "packed", ["b", "a", "c"])
+    size = written(spark, before)
+    assert packed.columns == df.columns and sorted(packed.collect()) == sorted(df.collect())
+    before = tables(spark)
+    cut_lineage(df, "plain")
+    assert size < 0.7 * written(spark, before)
+
+
+def test_build_stages_hold_a_question_once(spark, tmp_path):
+    noise = random.Random(2)
+    texts = [" ".join("".join(noise.choices("abcdefghijklmnop", k=6)) for _ in range(700)) for _ in range(40)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(
+        f"{tmp_path}/documents.parquet", compression="zstd")
+    given = sum(p.stat().st_size for p in Path(tmp_path).rglob("*.parquet"))
+    before = tables(spark)
+    items = entry.queries()["build_items"](spark, str(tmp_path))
+    assert written(spark, before) < 6 * given
+    assert items.count() == 80 and items.where("stage3_retry_count = 1").count() == 40
