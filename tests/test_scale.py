@@ -97,3 +97,11 @@ def test_build_stages_hold_a_question_once(spark, tmp_path):
     items = entry.queries()["build_items"](spark, str(tmp_path))
     assert written(spark, before) < 6 * given
     assert items.count() == 80 and items.where("stage3_retry_count = 1").count() == 40
+
+
+def test_build_counts_writes_no_more_than_its_stages(spark):
+    before = tables(spark)
+    counts = entry.queries()["build_counts"](spark, FOLDER)
+    made = tables(spark) - before
+    assert counts.columns == ["split", "stage1", "stage2", "stage3", "final"] and counts.count() > 0
+    assert {p.parent.name.split("-")[0] for p in made} == {"stage1", "stage2", "stage3", "aligned"}
