@@ -200,6 +200,32 @@ def lookup(df: DataFrame, key: str, value: str) -> Column:
     return df.where(F.col(key).isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
 
 
+def code_bits(codes: DataFrame, size: int) -> Column:
+    """A bitmap of ``size`` (a power of two) places as a scalar array, in which the 64-bit hashes
+    in the only column of ``codes`` are marked: with :func:`maybe_held`, rows that certainly
+    match nothing are left out where they lie."""
+    code = F.col(codes.columns[0])
+    word = F.shiftright(code.bitwiseAND(F.lit(size - 1)), 6)
+    held = codes.select(word.alias("id"), F.expr(f"shiftleft(1L, cast(`{codes.columns[0]}` & 63 AS int))").alias("bit"))
+    held = held.groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = codes.sparkSession.range(size // 64).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+
+    def in_order(at: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(at, "bits"))), lambda z: z["bits"])
+
+    # Row by row of 4096 words, so that no aggregation sorts more than a few thousand.
+    rows = every.groupBy(F.shiftright("id", 12).alias("row")).agg(in_order("id").alias("bits"))
+    return rows.agg(in_order("row")).scalar()
+
+
+def maybe_held(code: Column, bits: Column, size: int) -> Column:
+    """Whether the bitmap has the place of a hash marked."""
+    place = code.bitwiseAND(F.lit(size - 1))
+    row = F.get(bits, F.shiftright(place, 18).cast("int"))
+    word = F.get(row, F.shiftright(place, 6).bitwiseAND(F.lit(4095)).cast("int"))
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def only_in(df: DataFrame, small: DataFrame, column: str) -> DataFrame:
     """Rows whose value of a column of few values occurs in ``small``."""
     return df.where(F.array_contains(members(small, column), F.col(column)))

@@ -12,16 +12,18 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sparkgrade.functions import labels as lb
 from sparkgrade.functions import text as tx
 from sparkgrade.functions import wordlists as wl
 from sparkgrade.functions.order import natural_key
 from sparkgrade.functions.text import as_column
-from sparkgrade.operators.keys import head_per_group, lookup, members
+from sparkgrade.operators.keys import code_bits, head_per_group, lookup, maybe_held, members
 
 
+# Places of the bitmaps of question keys and of phrases.
+QUESTION_PLACES, LEAST_PLACES, MOST_PLACES = 1 << 22, 1 << 18, 1 << 28
+
 GAP = "|"
 TOKEN = "[a-z0-9]++"
 
@@ -152,12 +154,39 @@ def keyword_frequency(found: DataFrame) -> DataFrame:
     )
 
 
-def _with_wrong_models(found: DataFrame, wrong: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``models``: the models that answered the question wrongly (at most every model)."""
+def _code(*columns: str) -> Column:
+    return F.xxhash64(*columns).alias("code")
+
+
+def wrong_questions(found: DataFrame, wrong: DataFrame, keys: Sequence[str] = ("split", "id")) -> DataFrame:
+    """The questions that some model answered wrongly, with ``models`` (at most every model).
+
+    Most others are left out by a bitmap of the keys, before their phrases are made or moved.
+    """
     by_question = wrong.select(*keys, "model").distinct().groupBy(*keys).agg(
         F.collect_list("model").alias("models")
     )
-    return found.join(by_question, list(keys), "left")
+    bits = code_bits(wrong.select(_code(*keys)), QUESTION_PLACES)
+    return found.where(maybe_held(_code(*keys), bits, QUESTION_PLACES)).join(by_question, list(keys))
+
+
+def wrong_counts(held: DataFrame, min_wrong: int = 1, selected: Sequence[str] | None = None) -> DataFrame:
+    """``n``, the wrong questions that hold a phrase, per model. ``held``: :func:`wrong_questions`."""
+    rows = _exploded(held, _chosen(selected), F.col("models"))
+    counts = rows.select("keyword", F.explode("models").alias("model")).groupBy("keyword", "model").agg(
+        F.count("*").alias("n")
+    )
+    return counts.where(F.col("n") >= min_wrong)
+
+
+def _chosen(selected: Sequence[str] | None) -> Column:
+    every = F.col("phrases")
+    return F.filter(every, lambda p: p.isin(list(selected))) if selected else every
+
+
+def places_for(n: int) -> int:
+    """The size of a bitmap for so many hashes: eight places each, 32 MB at most."""
+    return min(MOST_PLACES, max(LEAST_PLACES, 1 << (8 * n - 1).bit_length()))
 
 
 def keyword_stats(
@@ -166,42 +195,40 @@ def keyword_stats(
     min_wrong: int = 1,
     selected: Sequence[str] | None = None,
     keys: Sequence[str] = ("split", "id"),
+    held: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Coverage and lift of each phrase per model, corpus and models in one pass.
+    """Coverage and lift of each phrase per model.
 
-    ``wrong`` has ``model`` and the keys of wrongly answered questions. Each question
-    contributes a row per phrase for the corpus (model NULL) and one per model that got
-    it wrong; a single aggregation counts both. Lift over a phrase the corpus lacks is
-    infinite. With ``selected`` every model reports every selected keyword.
+    ``wrong`` has ``model`` and the keys of wrongly answered questions. Lift over a phrase the
+    corpus lacks is infinite. With ``selected`` every model reports every selected keyword.
+    ``held`` and ``counts`` are written tables of :func:`wrong_questions` and :func:`wrong_counts`;
+    with ``counts``, phrases that no wrong question can hold are left out by a bitmap
+    before they are counted over the corpus.
     """
     questions = found.agg(F.count("*")).scalar()
-    known = wrong.select(*keys, "model").distinct().join(found.select(*keys), list(keys), "left_semi")
-    totals = known.groupBy("model").agg(F.count("*").alias("total_wrong"))
-    tagged = _with_wrong_models(found, wrong, keys)
-    chosen = F.col("phrases")
-    if selected:
-        chosen = F.filter(chosen, lambda p: p.isin(list(selected)))
-    owners = F.concat(F.array(F.lit(None).cast("string")), F.coalesce("models", F.array().cast("array<string>")))
-    rows = _exploded(tagged, chosen, owners.alias("owners"))
-    counts = rows.select("keyword", F.explode("owners").alias("model")).groupBy("keyword", "model").agg(
-        F.count("*").alias("n")
-    )
+    held = wrong_questions(found, wrong, keys) if held is None else held
+    totals = held.select(*keys, "models").dropDuplicates(list(keys)).select(F.explode("models").alias("model")).groupBy(
+        "model"
+    ).agg(F.count("*").alias("total_wrong"))
+    every = _exploded(found, _chosen(selected))
+    if counts is None:
+        counts = wrong_counts(held, 1 if selected else min_wrong, selected)
+    else:
+        size = places_for(counts.count())
+        every = every.where(maybe_held(_code("keyword"), code_bits(counts.select(_code("keyword")), size), size))
+    corpus = every.groupBy("keyword").agg(F.count("*").alias("all_question_count"))
     if selected:
-        corpus = counts.filter("model IS NULL").select("keyword", F.col("n").alias("all_question_count"))
-        every = totals.select("model", F.explode(F.array(*[F.lit(s) for s in selected])).alias("keyword"))
-        stats = every.join(counts.filter("model IS NOT NULL"), ["model", "keyword"], "left").join(
-            corpus, "keyword", "left"
-        )
+        named = totals.select("model", F.explode(F.array(*[F.lit(s) for s in selected])).alias("keyword"))
+        stats = named.join(counts, ["model", "keyword"], "left").join(corpus, "keyword", "left")
         stats = stats.select(
             "model", "keyword", F.coalesce("n", F.lit(0)).alias("wrong_question_count"),
             F.coalesce("all_question_count", F.lit(0)).alias("all_question_count"),
         )
     else:
-        # At most one row per model and the corpus row share a keyword here.
-        corpus = F.max(F.when(F.col("model").isNull(), F.col("n"))).over(W.partitionBy("keyword"))
-        stats = counts.withColumn("all_question_count", corpus).filter("model IS NOT NULL").select(
+        stats = counts.join(corpus, "keyword").select(
             "model", "keyword", F.col("n").alias("wrong_question_count"), "all_question_count"
-        ).filter(F.col("wrong_question_count") >= min_wrong)
+        )
     stats = stats.withColumn("total_wrong", lookup(totals, "model", "total_wrong")[F.col("model")])
     stats = stats.where("total_wrong IS NOT NULL").withColumn("all_total", questions)
     wrong_coverage = F.coalesce(F.try_divide("wrong_question_count", "total_wrong"), F.lit(0.0))
@@ -251,31 +278,30 @@ def prune_nested(
     keys: Sequence[str] = ("split", "id"),
     longest: int = 3,
     renamed: Sequence[str] = tuple(wl.PHRASE_ALIASES.values()),
+    held: DataFrame | None = None,
 ) -> DataFrame:
     """Drop a phrase when a better-ranked phrase contains it and covers the same questions.
 
     Being part of a phrase and being covered by it are both transitive, so dropping by
     *any* better-ranked container equals walking the ranking and testing the kept ones.
     A question that holds a phrase holds its parts too, so the container covers the same
-    questions exactly when both counts are equal: a join of the statistics with
-    themselves on the parts, no question is looked at. Only a phrase that got its name
-    from an alias may stand where its parts do not; those few are counted per question.
+    questions exactly when both counts are equal, and having more words it is the better ranked
+    then: the statistics without those that a phrase's parts name with its count, no question is
+    looked at. Only a phrase that got its name from an alias may stand where its parts do not;
+    those few, a fixed number per model, are counted per question.
     """
     # Smaller sorts first, so "better ranked" is a comparison of two structs.
     rank = F.struct(
         (-F.col("wrong_question_count")).alias("a"), (-F.col("wrong_coverage")).alias("b"),
         (-phrase_length("keyword")).alias("c"), (-F.col("lift")).alias("d"), F.col("keyword").alias("e"),
     )
-    ranked = stats.select("model", "keyword", "wrong_question_count", rank.alias("rank"))
-    outer = ranked.select(
-        "model", F.col("keyword").alias("container"), F.col("rank").alias("container_rank"),
-        F.col("wrong_question_count").alias("both"),
-    )
     bound = max(longest, 2)
-    own = outer.filter(~F.col("container").isin(list(renamed))).select(
-        "*", F.explode(_parts(F.col("container"), bound)).alias("keyword")
-    )
-    held = _with_wrong_models(found, wrong, keys).filter("models IS NOT NULL")
+    aliases = F.col("keyword").isin(list(renamed))
+    own = stats.where(~aliases).select(
+        "model", "wrong_question_count", F.explode(_parts(F.col("keyword"), bound)).alias("keyword")
+    ).distinct()
+    kept = stats.join(own, ["model", "keyword", "wrong_question_count"], "left_anti")
+    held = wrong_questions(found, wrong, keys) if held is None else held
     together = held.select(
         "models", "phrases", F.explode(F.array_intersect("phrases", tx.words(list(renamed)))).alias("container")
     )
@@ -285,29 +311,30 @@ def prune_nested(
     together = together.select(F.explode("models").alias("model"), "container", "keyword").groupBy(
         "model", "container", "keyword"
     ).agg(F.count("*").alias("both"))
-    aliased = outer.drop("both").join(together, ["model", "container"])
-    covered = (
-        own.unionByName(aliased)
-        .join(ranked, ["model", "keyword"])
-        .filter((F.col("both") == F.col("wrong_question_count")) & (F.col("container_rank") < F.col("rank")))
+    outer = stats.where(aliases).select("model", F.col("keyword").alias("container"), rank.alias("container_rank"))
+    aliased = outer.join(F.broadcast(together), ["model", "container"])
+    covered = stats.withColumn("rank", rank).join(F.broadcast(aliased), ["model", "keyword"]).where(
+        (F.col("both") == F.col("wrong_question_count")) & (F.col("container_rank") < F.col("rank"))
     )
-    return stats.join(covered.select("model", "keyword").distinct(), ["model", "keyword"], "left_anti")
+    return kept.join(F.broadcast(covered.select("model", "keyword").distinct()), ["model", "keyword"], "left_anti")
 
 
 def keyword_links(
     top: DataFrame, found: DataFrame, wrong: DataFrame, questions: DataFrame, text: Column | str,
-    keys: Sequence[str] = ("split", "id"), max_chars: int = 500,
+    keys: Sequence[str] = ("split", "id"), max_chars: int = 500, held: DataFrame | None = None,
 ) -> DataFrame:
     """One row per top keyword and wrong question holding it, with question details.
 
     ``max_chars`` is the length of the preview column of this report.
     """
-    held = _with_wrong_models(found, wrong, keys).filter("models IS NOT NULL")
+    held = wrong_questions(found, wrong, keys) if held is None else held
     wanted = F.array_intersect("phrases", members(top, "keyword"))
     hits = held.select(*keys, F.explode_outer(wanted).alias("keyword"), "models").where("keyword IS NOT NULL")
     hits = hits.select(*keys, "keyword", F.explode("models").alias("model"))
     hits = hits.join(top.select("model", "keyword"), ["model", "keyword"], "left_semi")
-    details = questions.select(
+    # Only questions that may be among them are moved.
+    bits = code_bits(hits.select(_code(*keys)), QUESTION_PLACES)
+    details = questions.where(maybe_held(_code(*keys), bits, QUESTION_PLACES)).select(
         *keys, "question_type", F.left(tx.collapse_spaces(text), F.lit(max_chars)).alias("question_preview")
     )
     return hits.join(details, list(keys), "left").withColumn("chapter", lb.split_chapter("split"))

@@ -66,21 +66,21 @@ def keyword_report(
     """Phrases that occur more often in wrongly answered questions than overall.
 
     ``selected`` reports exactly those keywords; ``None`` finds, prunes and ranks them.
-    The phrases of each question are written once and serve all parts of the report.
+    The phrases of wrongly answered questions are written once and serve all parts of the report;
+    those of all questions are counted where the texts are read, and never written or moved whole.
     """
-    found = cut_lineage(
-        keywords.question_phrases(dataset, question, keys, **keywords.default_word_lists(keep_generic_terms)),
-        "phrases",
-    )
+    found = keywords.question_phrases(dataset, question, keys, **keywords.default_word_lists(keep_generic_terms))
     wrong = evals.filter(~F.coalesce("is_correct", F.lit(False))).filter(F.col("id") != "")
-    stats = keywords.keyword_stats(found, wrong, min_wrong, selected, keys)
+    held = cut_lineage(keywords.wrong_questions(found, wrong, keys), "wrong-phrases")
     if selected:
+        stats = keywords.keyword_stats(found, wrong, min_wrong, selected, keys, held)
         top = stats
     else:
-        stats = cut_lineage(stats, "keywords")
-        stats = keywords.prune_nested(stats, found, wrong, keys)
+        counts = cut_lineage(keywords.wrong_counts(held, min_wrong), "wrong-counts")
+        stats = cut_lineage(keywords.keyword_stats(found, wrong, min_wrong, None, keys, held, counts), "keywords")
+        stats = keywords.prune_nested(stats, found, wrong, keys, held=held)
         top = keywords.top_keywords(stats, top_k)
-    links = keywords.keyword_links(top, found, wrong, dataset, question, keys)
+    links = keywords.keyword_links(top, found, wrong, dataset, question, keys, held=held)
     known = wrong.join(dataset.select(*keys), list(keys), "left_semi")
     counts = summary.value_counts(known, ["model"], [c for c in ("detail", "question_type", "split") if c in known.columns])
     return KeywordReport(stats, top, links, counts)

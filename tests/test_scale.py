@@ -6,9 +6,11 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparkgrade.operators import identity
+from sparkgrade.operators import identity, keywords
+from sparkgrade.operators.keys import code_bits, maybe_held
 from sparkgrade.session import cut_lineage, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -105,3 +107,41 @@ def test_build_counts_writes_no_more_than_its_stages(spark):
     made = tables(spark) - before
     assert counts.columns == ["split", "stage1", "stage2", "stage3", "final"] and counts.count() > 0
     assert {p.parent.name.split("-")[0] for p in made} == {"stage1", "stage2", "stage3", "aligned"}
+
+
+def names_of(made: set[Path]) -> set[str]:
+    return {p.parent.name.rsplit("-", 1)[0] for p in made}
+
+
+def test_keyword_pruned_writes_phrases_of_wrong_questions_only(spark):
+    before = tables(spark)
+    entry.queries()["keyword_pruned"](spark, FOLDER)
+    made = tables(spark) - before
+    assert names_of(made) == {"wrong-phrases", "wrong-counts", "keywords"}
+    [folder] = {str(p.parent) for p in made if p.parent.name.startswith("wrong-phrases")}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 0 OR toxic = 1")
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert spark.read.parquet(folder).count() == documents.join(labels, "doc_id").count()
+
+
+@pytest.mark.parametrize("size", [1 << 18, 1 << 20])
+def test_bitmaps_hold_what_is_marked_and_little_else(spark, size):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("code"), (F.col("id") % 10 == 0).alias("marked"))
+    bits = code_bits(rows.where("marked").select("code"), size)
+    found = rows.where(maybe_held(F.col("code"), bits, size)).groupBy("marked").count().collect()
+    counts = {r.marked: r["count"] for r in found}
+    assert counts[True] == 2000 and counts.get(False, 0) < 18_000 * 3 * 2000 / size
+
+
+def test_statistics_are_the_same_with_and_without_the_bitmap(spark):
+    questions = spark.createDataFrame(
+        [(str(i), "s", " ".join(["alpha", "beta", "gamma", "delta"][i % 3:]) + f" word{i % 7}x") for i in range(40)], "id string, split string, q string")
+    found = keywords.question_phrases(questions, "q")
+    wrong = spark.createDataFrame([("m" if i % 2 else "n", "s", str(i)) for i in range(0, 40, 3)] + [("m", "s", "none")], "model string, split string, id string")
+    held = cut_lineage(keywords.wrong_questions(found, wrong))
+    counts = cut_lineage(keywords.wrong_counts(held, 2))
+    plain = keywords.keyword_stats(found, wrong, 2)
+    assert plain.count() > 5
+    assert sorted(plain.collect()) == sorted(keywords.keyword_stats(found, wrong, 2, held=held, counts=counts).collect())
+    asked = keywords.keyword_stats(found, wrong, selected=["alpha", "nowhere"])
+    assert {(r.model, r.keyword) for r in asked.collect()} == {(m, k) for m in "mn" for k in ("alpha", "nowhere")}
