@@ -145,3 +145,11 @@ def test_statistics_are_the_same_with_and_without_the_bitmap(spark):
     assert sorted(plain.collect()) == sorted(keywords.keyword_stats(found, wrong, 2, held=held, counts=counts).collect())
     asked = keywords.keyword_stats(found, wrong, selected=["alpha", "nowhere"])
     assert {(r.model, r.keyword) for r in asked.collect()} == {(m, k) for m in "mn" for k in ("alpha", "nowhere")}
+
+
+def test_keyword_links_moves_details_of_linked_questions_only(spark):
+    links = entry.queries()["keyword_links"](spark, FOLDER)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "question_preview" in line or "getbit" in line.lower()]
+    assert any("getbit" in line.lower() for line in scans)
+    assert links.where("question_preview IS NULL OR question_type IS NULL").count() == 0
