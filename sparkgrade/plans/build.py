@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from sparkgrade.operators import build, rebalance, scoring
 from sparkgrade.operators.summary import stage_counts
-from sparkgrade.session import cut_lineage
+from sparkgrade.session import cut_lineage, rows_at_once
 
 Scorer = Callable[[], Callable[[str], str]]
 
+#: Requests that a task sends to its scorers at a time.
+BATCH = 500
+
 #: Columns that tables are joined and counted by; they stay columns of their own on disk.
 KEYS = ("split", "id", "reply_status")
 
@@ -51,7 +54,8 @@ def ask(
     parts of one question."""
     scored = called(rows, request, scorer, threads, accept, attempts)
     texts = [f.name for f in scored.schema if f.dataType.simpleString() == "string" and f.name not in KEYS]
-    return cut_lineage(scored, name, texts)
+    with rows_at_once(rows.sparkSession, BATCH):
+        return cut_lineage(scored, name, texts)
 
 
 def check_references(problems: DataFrame, scorer: Scorer, cache: DataFrame | None = None, threads: int = 4) -> DataFrame:

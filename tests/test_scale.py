@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sparkgrade.operators import identity, keywords
 from sparkgrade.operators.keys import code_bits, maybe_held
-from sparkgrade.session import cut_lineage, shared_folder
+from sparkgrade.session import BATCH_CONF, cut_lineage, rows_at_once, shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -153,3 +153,13 @@ def test_keyword_links_moves_details_of_linked_questions_only(spark):
     scans = [line for line in plan.splitlines() if "question_preview" in line or "getbit" in line.lower()]
     assert any("getbit" in line.lower() for line in scans)
     assert links.where("question_preview IS NULL OR question_type IS NULL").count() == 0
+
+
+def test_scorers_get_few_rows_at_once_and_the_setting_comes_back(spark):
+    given = spark.conf.get(BATCH_CONF)
+    with pytest.raises(ValueError), rows_at_once(spark, 500):
+        assert spark.conf.get(BATCH_CONF) == "500"
+        raise ValueError
+    assert spark.conf.get(BATCH_CONF) == given
+    with rows_at_once(spark, 10 ** 9):
+        assert spark.conf.get(BATCH_CONF) == given
